@@ -6,11 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from .registry import Registry
 
-TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^ \t\r\nA-Za-z0-9_]"
+# ``\w`` is ASCII only here, and several times faster than the spelled-out class.
+TOKEN_PATTERN = r"\w++|[^ \t\r\n\w]"
 COMMENT_PATTERN = r"(?s)/\*.*?\*/|//[^\n]*"
 # Keywords are bounded by ASCII word characters only, so that accented letters
 # next to a keyword count as a boundary.
-DECISION_PATTERN = r"(?<![A-Za-z0-9_])(?:if|for|while|case|catch)(?![A-Za-z0-9_])|&&|[|][|]|[?]"
+DECISION_PATTERN = r"(?<!\w)(?:if|for|while|case|catch)(?!\w)|&&|[|][|]|[?]"
 PAD_TOKEN = "<pad>"
 # Fixed value: the task prefix of the text-to-text classifier.
 TASK_PREFIX = "defect_detection: "
@@ -51,8 +52,8 @@ def task_prefix(text: Column) -> Column:
 
 def normalise_whitespace(text: Column) -> Column:
     """LF line ends, four blanks per tab, no trailing blanks, one empty line at most in a row."""
-    unix = F.regexp_replace(text, "\r\n?", "\n")
-    spaced = F.regexp_replace(unix, "\t", "    ")
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    spaced = F.replace(unix, F.lit("\t"), F.lit("    "))
     trimmed = F.regexp_replace(spaced, "(?<! ) +(\n|\\z)", "$1")
     return F.regexp_replace(trimmed, "\n{3,}", "\n\n")
 

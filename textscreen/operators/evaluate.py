@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scores import above, cross_entropy
+from ..functions.scores import above, argmax, cross_entropy
 from .joins import with_scalars
 from .ordered import BUCKET, running, with_value_bucket
 
@@ -137,8 +137,6 @@ def before_after(df: DataFrame, row_id: list[str], variant: str = "variant", sco
 
 def score_metrics(df: DataFrame, by: list[str] | None = None, truth: str = "target", scores: str = "scores") -> DataFrame:
     """Multi-class accuracy and the F1 of class 1, both from the highest-scoring class."""
-    from ..functions.scores import argmax
-
     guess, y = argmax(F.col(scores)), F.col(truth)
     counted = df.filter(y.isNotNull()).groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("_n"),

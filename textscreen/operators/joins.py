@@ -4,38 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 200
+BROADCAST_BYTES = 256 * 1024 * 1024
+HOT_KEYS = 200
+SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``limit`` rows; stops reading soon after that."""
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+def _bytes(df: DataFrame) -> Column:
+    """Rough width of a row in memory."""
+    widths = [F.lit(16 * len(df.columns))]
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            widths.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif kind.startswith("array"):
+            widths.append(F.greatest(F.size(name), F.lit(0)) * 8)
+    return sum(widths[1:], widths[0]).cast("long")
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Look ``key`` up in a table with one row per key.
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the whole table takes at most ``limit`` bytes, by measuring it."""
+    return (df.agg(F.sum(_bytes(df)).alias("size")).first()["size"] or 0) <= limit
 
-    A table of at most ``limit`` rows is broadcast. A larger one is joined by a
-    shuffle, except for the keys that each hold more than 1/200 of the left
-    rows: there can be fewer than 200 of those, so their entries are broadcast
-    and the rows stay where they are.
+
+def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Look ``key`` up in a stored table with one row per key.
+
+    A table within ``limit`` is broadcast. A larger one is joined by a shuffle
+    in which the most frequent keys of the left side are salted: their rows
+    spread over many tasks, and only those few table rows are repeated.
     """
     if fits_broadcast(table, limit):
         return left.join(F.broadcast(table), key, how)
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg((F.count(F.lit(1)) / HOT_SHARE).alias("_limit"))
-    hot = (
-        counts.join(F.broadcast(total), F.col("_n") > F.col("_limit"))
-        .filter(F.col(key).isNotNull())
-        .select(F.col(key).alias("_hot"))
-    )
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    hot_table = F.broadcast(table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi"))
-    columns = [c for c in left.columns if c != key]
-    frequent = marked.filter(F.col("_hot").isNotNull()).select(key, *columns).join(hot_table, key, how)
-    others = marked.filter(F.col("_hot").isNull()).select(key, *columns).join(table, key, how)
-    return frequent.unionByName(others)
+    counted = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = [r[key] for r in counted.orderBy(F.desc("_n")).limit(HOT_KEYS).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    salted = left.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = table.withColumn("_salt", F.explode(copies))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, *aggregates: Column, over: DataFrame | None = None) -> DataFrame:

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence, text
-from .joins import BROADCAST_ROWS, lookup
+from .joins import BROADCAST_BYTES, lookup
 
 MATRIX_CELLS = 4_000_000
 
 
+def each_position(df: DataFrame, array: Column | str, names: tuple[str, str], *keep: str) -> DataFrame:
+    """One row per array element with its position; an empty array gives one row of nulls.
+
+    The outer form matters: for the inner one Spark adds a non-empty filter that
+    computes the array a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(*names))
+
+
 def truncated_tokens(df: DataFrame, length: int, tokeniser: str = "code", func: str = "func") -> DataFrame:
     return df.withColumn("tokens", text.truncate(text.TOKENISERS.get(tokeniser)(F.col(func)), length))
 
 
-def embed_tokens(df: DataFrame, vocab: DataFrame, row_id: str = "idx", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per token with its vector; null where the vocabulary lacks the token."""
-    exploded = df.select(row_id, F.posexplode("tokens").alias("t", "token"))
-    return lookup(exploded, vocab, "token", "left", limit)
+def embed_tokens(df: DataFrame, vocab: DataFrame, row_id: str = "idx", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per token with its vector; the vector is null where the vocabulary lacks the token.
+
+    An example without tokens keeps one row of nulls. ``vocab`` is a stored table.
+    """
+    return lookup(each_position(df, "tokens", ("t", "token"), row_id), vocab, "token", "left", limit)
 
 
 def dense_sequences(
@@ -28,11 +39,11 @@ def dense_sequences(
     Tokens were cut to ``length`` before, so a group is bounded. ``truncate``
     keeps the first ``features`` values of longer vectors.
     """
-    gathered = embedded.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("t", "vec"))).alias("_rows"))
+    vec = text.truncate(F.col("vec"), features) if truncate else F.col("vec")
+    gathered = embedded.groupBy(row_id).agg(F.collect_list(F.struct("t", vec.alias("vec"))).alias("_rows"))
+    rows = F.array_sort(F.filter("_rows", lambda r: r["t"].isNotNull()))
     zeros = F.array_repeat(F.lit(0.0), features)
-    x = F.transform("_rows", lambda r: F.coalesce(r["vec"].cast("array<double>"), zeros))
-    if truncate:
-        x = sequence.truncate_features(x, features)
+    x = F.transform(rows, lambda r: F.coalesce(r["vec"].cast("array<double>"), zeros))
     return gathered.select(row_id, sequence.pad_rows(x, length, features).alias("x"))
 
 
@@ -41,15 +52,13 @@ def featurize(
 ) -> DataFrame:
     """Text to dense sequences: tokenise, cut, look up, gather, pad; empty texts become all zeros."""
     tokens = truncated_tokens(df, length, tokeniser)
-    dense = dense_sequences(embed_tokens(tokens, vocab, row_id), length, features, row_id)
-    empty = sequence.pad_rows(F.array().cast("array<array<double>>"), length, features)
-    return df.join(dense, row_id, "left").withColumn("x", F.coalesce("x", empty))
+    return dense_sequences(embed_tokens(tokens, vocab, row_id), length, features, row_id)
 
 
-def to_long(df: DataFrame, x: str = "x", row_id: str = "idx") -> DataFrame:
+def to_long(df: DataFrame, x: str = "x", row_id: str = "id") -> DataFrame:
     """``(id, t, f, v)`` rows of dense sequences."""
-    rows = df.select(row_id, F.posexplode(x).alias("t", "_row"))
-    return rows.select(row_id, "t", F.posexplode("_row").alias("f", "v"))
+    rows = each_position(df, x, ("t", "_row"), row_id)
+    return each_position(rows, "_row", ("f", "v"), row_id, "t").filter(F.col("f").isNotNull())
 
 
 def linear(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str = "vector", out: str = "y") -> DataFrame:

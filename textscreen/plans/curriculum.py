@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import curriculum
+from ..session import materialise
 from .fixtures import TOKEN_SQL, functions, split_functions, table, truth, u
 from .registered import query
 
@@ -96,7 +97,7 @@ _LENGTH_WEIGHTS = "SELECT idx, 1 - length(func)::double / (max(length(func)) OVE
 )
 def curriculum_linear(spark, sf):
     measured = functions(spark, sf).select("idx", text.char_length(F.col("func")).alias("difficulty"))
-    weighted = curriculum.difficulty_weight(measured, "difficulty").select("idx", "weight")
+    weighted = materialise(curriculum.difficulty_weight(measured, "difficulty").select("idx", "weight"), "weights")
     config = {"schedule": "linear", "linear_steps": 2, "linear_split": 0.3}
     epochs = [curriculum.scheduled_subset(weighted, config, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
     return reduce(DataFrame.unionByName, epochs)

@@ -97,7 +97,7 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
     """Every token of the texts with a vector picked by its hash."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     size = vectors.agg(F.count(F.lit(1)).alias("_size"))
-    distinct = tokens(spark, sf).select(F.explode("tokens").alias("token")).distinct()
+    distinct = tokens(spark, sf).select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).distinct()
     picked = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.col("_size")
     return distinct.crossJoin(F.broadcast(size)).select("token", picked.alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
 

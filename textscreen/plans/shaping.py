@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
-from ..operators import joins, ordered, rewrite, split, staging
+from ..operators import evaluate, joins, ordered, rewrite, sequences, split, staging
+from ..session import materialise
 from .fixtures import flags, functions, pair_preds, pairs, preds, raw_text, scores, split_functions, table, tokens, truth, u, vocab
 from .registered import query
 from .sources import CLEAN_SQL
@@ -159,14 +160,11 @@ def scalar_broadcast(spark, sf):
     "vocab",
 )
 def embed_lookup(spark, sf):
-    from ..operators.sequences import embed_tokens
-
-    embedded = embed_tokens(tokens(spark, sf), vocab(spark, sf))
-    vec = F.col("vec").cast("array<double>")
+    embedded = sequences.embed_tokens(tokens(spark, sf), materialise(vocab(spark, sf), "vocab"))
     return embedded.groupBy("idx").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum(vec[0]), 4).alias("first"),
-        F.round(F.max(vec[63]), 6).alias("last"),
+        F.count("token").alias("n"),
+        F.round(F.sum(F.col("vec")[0].cast("double")), 4).alias("first"),
+        F.round(F.max(F.col("vec")[63].cast("double")), 6).alias("last"),
     )
 
 
@@ -210,9 +208,7 @@ def union_datasets(spark, sf):
 
 @query("SELECT model, dataset, kind, idx, variant, y_pred, target FROM united", "functions", "pair_preds", "united")
 def union_truth(spark, sf):
-    from ..operators.evaluate import union_truth as united
-
-    return united(pair_preds(spark, sf))
+    return evaluate.union_truth(pair_preds(spark, sf))
 
 
 @query(f"SELECT idx, target, split FROM ({_PARTS})", "functions")
