@@ -6,11 +6,11 @@ with the rows is ordered on one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import above, argmax, cross_entropy
 from .joins import with_scalars
-from .ordered import BUCKET, running, with_value_bucket
+from .ordered import running, value_cuts, with_cuts
 
 
 def class_counts(df: DataFrame, target: str = "target") -> DataFrame:
@@ -82,11 +82,12 @@ def average_precision(
     """
     by = list(by or [])
     known = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
-    steps = known.groupBy(*by, (-F.col(score)).alias("_down")).agg(
+    known = known.select(*by, truth, (-F.col(score).cast("double")).alias("_down"))
+    steps = known.groupBy(*by, "_down").agg(
         F.sum(F.col(truth).cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n")
     )
     cumulative = running(
-        with_value_bucket(steps, "_down", parts=parts),
+        with_cuts(steps, value_cuts(known, "_down", parts=parts)),
         ["_down"],
         {"_ctp": ("sum", F.col("_tp")), "_cn": ("sum", F.col("_n"))},
         by,
@@ -100,7 +101,7 @@ def _medians(long: DataFrame, parts: int | None) -> DataFrame:
     """Exact median per name: count equal values, then find the middle by running counts."""
     counted = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n"))
     placed = running(
-        with_value_bucket(counted, "value", parts=parts),
+        with_cuts(counted, value_cuts(long, "value", parts=parts)),
         ["value"],
         {"_upto": ("sum", F.col("_n"))},
         ["name"],
@@ -181,30 +182,40 @@ def union_truth(pairs: DataFrame) -> DataFrame:
     return pairs.select(*others, F.inline(F.when(vulnerable, F.array(before, after)).otherwise(F.array(before))))
 
 
-def baselines(counts: DataFrame, model: str = "model") -> DataFrame:
-    """Metrics of always answering safe and always answering vulnerable.
+def _constant_answers(model: str, pos: Column, neg: Column) -> list[Column]:
+    """Confusion counts of always answering safe and always answering vulnerable."""
+    zero = F.lit(0).cast("long")
+    return [
+        F.struct(F.lit("safe baseline").alias(model), neg.alias("tn"), zero.alias("fp"), pos.alias("fn"), zero.alias("tp")),
+        F.struct(F.lit("vuln baseline").alias(model), zero.alias("tn"), neg.alias("fp"), zero.alias("fn"), pos.alias("tp")),
+    ]
+
 
-    ``counts`` is a confusion table per model; the class sizes are those of the
-    last model by name, as all models are scored on the same rows.
+def with_baselines(counts: DataFrame, model: str = "model") -> DataFrame:
+    """Add both constant baselines to a confusion table per model.
+
+    They are scored on the rows of the last model by name, as all models share
+    their rows. They are made from that model's own line, so the predictions are
+    read once; the window sees one line per model.
     """
-    sizes = counts.agg(
-        F.max_by(F.struct((F.col("tp") + F.col("fn")).alias("pos"), (F.col("tn") + F.col("fp")).alias("neg")), model).alias("s")
-    )
-    zero = F.lit(0).cast("long")
-    pos, neg = F.col("s.pos"), F.col("s.neg")
-    rows = F.inline(
-        F.array(
-            F.struct(F.lit("safe baseline").alias(model), neg.alias("tn"), zero.alias("fp"), pos.alias("fn"), zero.alias("tp")),
-            F.struct(F.lit("vuln baseline").alias(model), zero.alias("tn"), neg.alias("fp"), zero.alias("fn"), pos.alias("tp")),
-        )
-    )
-    return sizes.select(rows)
+    own = F.struct(model, "tn", "fp", "fn", "tp")
+    constant = _constant_answers(model, F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp"))
+    last = F.max(model).over(Window.partitionBy())
+    lines = counts.select(model, "tn", "fp", "fn", "tp", (F.col(model) == last).alias("_last"))
+    return lines.select(F.inline(F.when(F.col("_last"), F.array(own, *constant)).otherwise(F.array(own))))
+
+
+def baselines(counts: DataFrame, model: str = "model") -> DataFrame:
+    """Only the two constant baselines of a confusion table per model."""
+    sizes = F.struct((F.col("tp") + F.col("fn")).alias("pos"), (F.col("tn") + F.col("fp")).alias("neg"))
+    last = counts.agg(F.max_by(sizes, model).alias("s"))
+    return last.select(F.inline(F.array(*_constant_answers(model, F.col("s.pos"), F.col("s.neg")))))
 
 
 def leaderboard(df: DataFrame, model: str = "model", truth: str = "target", score: str = "y_pred", threshold: float = 0.5) -> DataFrame:
     """Pooled metrics per model with both constant baselines, best F1 first."""
     counts = confusion(df, [model], truth, above(F.col(score), threshold))
-    rated = counts.unionByName(baselines(counts, model)).select(model, *[c.alias(n) for n, c in ratios().items()])
+    rated = with_baselines(counts, model).select(model, *[c.alias(n) for n, c in ratios().items()])
     return rated.select(model, "f1", "precision", "recall").orderBy(F.desc("f1"), model)
 
 

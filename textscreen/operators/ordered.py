@@ -16,15 +16,19 @@ one bucket's share of the rows, whatever the skew.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.hashing import order_hash
 
 BUCKET = "_bucket"
+_GROUP = "_group"
 HASH = "_order_hash"
 HASH_DIGITS = 3
+_MERGERS = 256
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max}
 
@@ -34,10 +38,65 @@ def default_parts(spark: SparkSession) -> int:
     return max(8, min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Where to cut an order into buckets of about equal size."""
+
+    key: str
+    key_cuts: list
+    tie: str | None
+    tie_cuts: list
+    nulls: bool
+    parts: int
+
+
+def _sketch(df: DataFrame, column: str) -> str:
+    """Which quantile sketch fits the column: whole numbers must keep every digit."""
+    return "bigint" if isinstance(df.schema[column].dataType, IntegralType) else "double"
+
+
 def _finite(values) -> list:
     return [v for v in values or [] if not (isinstance(v, float) and not math.isfinite(v))]
 
 
+def value_cuts(df: DataFrame, key: str, tie: str | None = None, parts: int | None = None) -> Cuts:
+    """Find cut points for the numeric order (key, tie) in one pass without a shuffle of rows.
+
+    Each task sketches its own values. The sketches are merged in two steps, so
+    that no task has to take in one from every other, and only the cut points
+    reach the driver. They set how even the buckets are, never what is in them.
+    """
+    parts = parts or default_parts(df.sparkSession)
+    accuracy = F.lit(max(512, min(65535, 4 * parts)))
+    ranks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    kinds = {c: _sketch(df, c) for c in (key, tie) if c}
+    casts = {"bigint": "long", "double": "double"}
+    partial = df.groupBy((F.spark_partition_id() % _MERGERS).alias("_merger")).agg(
+        *[
+            getattr(F, f"kll_sketch_agg_{kind}")(F.col(c).cast(casts[kind]), accuracy).alias(f"s_{c}")
+            for c, kind in kinds.items()
+        ],
+        F.bool_or(F.col(key).isNull()).alias("nulls"),
+    )
+    merged = partial.agg(
+        *[getattr(F, f"kll_merge_agg_{kind}")(f"s_{c}").alias(f"s_{c}") for c, kind in kinds.items()],
+        F.bool_or("nulls").alias("nulls"),
+    )
+    found = merged.select(
+        "nulls",
+        *[
+            F.when(
+                getattr(F, f"kll_sketch_get_n_{kind}")(f"s_{c}") > 0,
+                getattr(F, f"kll_sketch_get_quantile_{kind}")(f"s_{c}", ranks),
+            ).alias(f"q_{c}")
+            for c, kind in kinds.items()
+        ],
+    ).first()
+    return Cuts(
+        key, _finite(found[f"q_{key}"]), tie, _finite(found[f"q_{tie}"]) if tie else [], bool(found["nulls"]), parts
+    )
+
+
 def _bucketize(df: DataFrame, column: Column, cuts: list, out: str) -> DataFrame:
     splits = sorted({float(c) for c in cuts})
     if not splits:
@@ -50,40 +109,29 @@ def _bucketize(df: DataFrame, column: Column, cuts: list, out: str) -> DataFrame
     return bucketed.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))).drop(source)
 
 
-def with_value_bucket(df: DataFrame, key: str, tie: str | None = None, parts: int | None = None) -> DataFrame:
-    """Add a bucket that agrees with ascending (key, tie), nulls first.
-
-    Cut points come from one aggregate over the two columns; only those few
-    numbers reach the driver. ``key`` and ``tie`` are numeric.
-    """
-    parts = parts or default_parts(df.sparkSession)
-    probabilities = [i / parts for i in range(1, parts)]
-    accuracy = max(10_000, 20 * parts)
-    wanted = [
-        F.percentile_approx(F.col(key), probabilities, accuracy).alias("key"),
-        F.coalesce(F.bool_or(F.col(key).isNull()), F.lit(False)).alias("nulls"),
-    ]
-    if tie:
-        wanted.append(F.percentile_approx(F.col(tie), probabilities, accuracy).alias("tie"))
-    found = df.agg(*wanted).first()
-
-    key_cuts = _finite(found["key"])
-    hot = {float(c): c for c in key_cuts if key_cuts.count(c) > 1}
-    df = _bucketize(df, F.col(key), key_cuts, BUCKET)
-    position, alone = F.col(BUCKET).cast("long") * 3, F.col(key).isNull()
+def with_cuts(df: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add a bucket that agrees with ascending (key, tie), nulls first."""
+    key = F.col(cuts.key)
+    hot = {float(c): c for c in cuts.key_cuts if cuts.key_cuts.count(c) > 1}
+    df = _bucketize(df, key, cuts.key_cuts, BUCKET)
+    position, alone = F.col(BUCKET).cast("long") * 3, key.isNull()
     if hot:
         # A frequent value stands between what is below and above it.
-        by_bucket = [None, *(hot.get(c) for c in sorted({float(c) for c in key_cuts}))]
+        by_bucket = [None, *(hot.get(c) for c in sorted({float(c) for c in cuts.key_cuts}))]
         here = F.get(F.array(*[F.lit(c) for c in by_bucket]), F.col(BUCKET))
-        above = (F.col(key) >= here).cast("long") + (F.col(key) > here).cast("long")
+        above = (key >= here).cast("long") + (key > here).cast("long")
         position = position + F.coalesce(above, F.lit(0))
-        alone = alone | (F.col(key) == here)
-    if tie and (hot or found["nulls"]):
-        df = _bucketize(df, F.col(tie), _finite(found["tie"]), "_tie_bucket")
-        position = position * (parts + 2) + F.when(alone, F.col("_tie_bucket") + 1).otherwise(0)
+        alone = alone | (key == here)
+    if cuts.tie and (hot or cuts.nulls):
+        df = _bucketize(df, F.col(cuts.tie), cuts.tie_cuts, "_tie_bucket")
+        position = position * (cuts.parts + 2) + F.when(alone, F.col("_tie_bucket") + 1).otherwise(0)
     return df.withColumn(BUCKET, position).drop("_tie_bucket")
 
 
+def with_value_bucket(df: DataFrame, key: str, tie: str | None = None, parts: int | None = None) -> DataFrame:
+    return with_cuts(df, value_cuts(df, key, tie, parts))
+
+
 def with_hash_bucket(df: DataFrame, seed: str | int, row_id: str) -> DataFrame:
     """Add the order hash of (seed, id) and its leading digits as the bucket."""
     hashed = df.withColumn(HASH, order_hash(seed, row_id))
@@ -91,6 +139,7 @@ def with_hash_bucket(df: DataFrame, seed: str | int, row_id: str) -> DataFrame:
 
 
 def _prior(df: DataFrame, buckets: list[str], aggregates: dict, by: list[str], totals: bool) -> DataFrame:
+    """Per bucket: its own aggregate, that of all buckets before it and, on request, of the whole group."""
     per_bucket = df.groupBy(*by, *buckets).agg(
         *[_AGGREGATES[kind](column).alias(f"_t_{out}") for out, (kind, column) in aggregates.items()]
     )
@@ -104,19 +153,10 @@ def _prior(df: DataFrame, buckets: list[str], aggregates: dict, by: list[str], t
         if totals:
             columns.append(combine(f"_t_{out}").over(whole).alias(f"{out}_total"))
     return per_bucket.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, *buckets]],
-        *[F.col(f"_t_{out}") for out in aggregates],
-        *columns,
+        F.struct(*by, *buckets).alias(_GROUP), *[F.col(f"_t_{out}") for out in aggregates], *columns
     )
 
 
-def _attach(df: DataFrame, prior: DataFrame, by: list[str], buckets: list[str], small: bool) -> DataFrame:
-    condition = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
-    condition += [F.col(c) == F.col(f"_k_{c}") for c in buckets]
-    joined = df.join(F.broadcast(prior) if small else prior, condition)
-    return joined.drop(*[f"_k_{c}" for c in [*by, *buckets]])
-
-
 def running(
     df: DataFrame,
     order: list,
@@ -124,27 +164,29 @@ def running(
     by: list[str] | None = None,
     buckets: list[str] | None = None,
     totals: bool = False,
-    small: bool = False,
 ) -> DataFrame:
     """Running sum, count or maximum in ``order`` within ``by``, distributed.
 
     ``aggregates`` maps an output name to (kind, column). ``totals`` adds
-    ``<name>_total``, the value over the whole group. ``small`` states that the
-    number of groups times buckets is bounded by constants, which allows a
-    broadcast; otherwise the planner chooses.
+    ``<name>_total``, the value over the whole group.
+
+    Rows are shuffled once: the join with the starting values and the window
+    need the same key, a struct, which also lets null groups meet.
     """
     by, buckets = list(by or []), buckets or [BUCKET]
-    joined = _attach(df, _prior(df, buckets, aggregates, by, totals), by, buckets, small)
-    inside = Window.partitionBy(*by, *buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    prior = _prior(df, buckets, aggregates, by, totals)
+    keyed = df.withColumn(_GROUP, F.struct(*by, *buckets))
+    joined = keyed.join(F.broadcast(prior) if not by and buckets == [BUCKET] else prior.hint("shuffle_hash"), _GROUP)
+    inside = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for out, (kind, column) in aggregates.items():
         within, before = _AGGREGATES[kind](column).over(inside), F.col(f"_p_{out}")
         value = F.greatest(before, within) if kind == "max" else within + F.coalesce(before, F.lit(0))
         joined = joined.withColumn(out, value)
-    return joined.drop(*[f"{prefix}_{out}" for out in aggregates for prefix in ("_p", "_t")])
+    return joined.drop(_GROUP, *[f"{prefix}_{out}" for out in aggregates for prefix in ("_p", "_t")])
 
 
-def _ranked(df: DataFrame, order: list, by: list[str], name: str, buckets: list[str], totals: bool, small: bool):
-    ranked = running(df, order, {name: ("count", F.lit(1))}, by, buckets, totals, small)
+def _ranked(df: DataFrame, order: list, by: list[str] | None, name: str, buckets: list[str], totals: bool = False) -> DataFrame:
+    ranked = running(df, order, {name: ("count", F.lit(1))}, by, buckets, totals)
     return ranked.withColumn(name, F.col(name) - 1)
 
 
@@ -154,7 +196,7 @@ def assign_idx(
     """Zero-based contiguous number in the order (key, tie), restarted per ``by`` group."""
     order = [F.col(c).asc_nulls_first() for c in (key, tie) if c]
     bucketed = with_value_bucket(df, key, tie, parts)
-    return _ranked(bucketed, order, list(by or []), name, [BUCKET], False, not by).drop(BUCKET)
+    return _ranked(bucketed, order, by, name, [BUCKET]).drop(BUCKET)
 
 
 def file_order(df: DataFrame) -> DataFrame:
@@ -173,7 +215,7 @@ def file_order(df: DataFrame) -> DataFrame:
 
 def assign_idx_by_file(df: DataFrame, by: list[str] | None = None, name: str = "idx") -> DataFrame:
     """Zero-based number in file order for a materialised ``file_order`` table."""
-    ranked = _ranked(df, ["_seq"], list(by or []), name, ["_file", "_block"], False, False)
+    ranked = _ranked(df, ["_seq"], by, name, ["_file", "_block"])
     return ranked.drop("_file", "_block", "_seq")
 
 
@@ -181,9 +223,7 @@ def shuffle_rank(
     df: DataFrame, seed: str | int, row_id: str = "idx", by: list[str] | None = None, name: str = "rank", totals: bool = False
 ) -> DataFrame:
     """Position of every row in a seeded shuffle, restarted per ``by`` group."""
-    ranked = _ranked(
-        with_hash_bucket(df, seed, row_id), [HASH, row_id], list(by or []), name, [BUCKET], totals, not by
-    )
+    ranked = _ranked(with_hash_bucket(df, seed, row_id), [HASH, row_id], by, name, [BUCKET], totals)
     return ranked.drop(BUCKET, HASH)
 
 
@@ -204,10 +244,13 @@ def smallest(df: DataFrame, key: str, tie: str, count: Column, parts: int | None
     prior = prior.withColumnRenamed("n_rows_total", "n_rows").withColumn("_count", count).drop("n_rows")
     start, size = F.coalesce(F.col("_p_n_rows"), F.lit(0)), F.col("_t_n_rows")
     marked = prior.filter(start < F.col("_count")).select(
-        f"_k_{BUCKET}", (F.col("_count") - start).alias("_left"), (start + size <= F.col("_count")).alias("_all")
+        F.col(f"{_GROUP}.{BUCKET}").alias(BUCKET),
+        (F.col("_count") - start).alias("_left"),
+        (start + size <= F.col("_count")).alias("_all"),
     )
     columns = df.columns
-    joined = _attach(bucketed, marked, [], [BUCKET], True)
+    # The number of buckets is bounded by the number of cuts.
+    joined = bucketed.join(F.broadcast(marked), BUCKET)
     whole = joined.filter("_all").select(*columns)
     order = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first())
     cut = joined.filter("NOT _all").withColumn("_rank", F.row_number().over(order))

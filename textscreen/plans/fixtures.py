@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sequence, text
 from ..functions.hashing import uniform
@@ -58,14 +58,13 @@ def pair_preds(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant's next turn as text before and after."""
-    turns = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf, "conversations").withColumns(
-        {"next_role": F.lead("role").over(turns), "func_after": F.lead("text").over(turns)}
-    )
-    kept = rows.filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    return kept.select(
-        "conv_id", "turn", (F.col("conv_id") % 2).cast("int").alias("vul"), F.col("text").alias("func_before"), "func_after"
-    )
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("func_before"))
+    # Turns are numbered without gaps, so the next one is a join on the full key
+    # and a very long conversation spreads over all tasks.
+    answered = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("func_after"))
+    paired = asked.join(answered, ["conv_id", "turn"])
+    return paired.select("conv_id", "turn", (F.col("conv_id") % 2).cast("int").alias("vul"), "func_before", "func_after")
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
