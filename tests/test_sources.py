@@ -55,7 +55,16 @@ def test_prediction_lines(spark, tmp_path):
     df = spark.createDataFrame([(3, 0.123456), (11, 1.0)], readers.PREDICTIONS)
     path = writers.write_prediction_lines(df, str(tmp_path / "lines"))
     assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["11\t1.0000", "3\t0.1235"]
-    assert {tuple(r) for r in readers.read_prediction_lines(spark, path).collect()} == {(3, 0.1235), (11, 1.0)}
+    assert {tuple(r)[:2] for r in readers.read_prediction_lines(spark, path).collect()} == {(3, 0.1235), (11, 1.0)}
+
+
+def test_folder_of_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5)], readers.PREDICTIONS)
+    for name in ("m_d2a_on_big_safe_after", "n_k_draper_on_x"):
+        writers.write_prediction_lines(df, str(tmp_path / f"{name}.txt"))
+    lines = readers.with_run_dims(readers.read_prediction_lines(spark, str(tmp_path)), "path")
+    got = {(r["model"], r["trained_on"], r["tested_on"], r["y_pred"]) for r in lines.collect()}
+    assert got == {("m", "d2a", "big_safe_after", 0.5), ("n_k", "draper", "x", 0.5)}
 
 
 def test_publish_reads_what_it_replaces(spark, tmp_path):
@@ -120,13 +129,26 @@ def test_staging_from_csv_files(spark, tmp_path):
     assert staged == {"train": [(0, "a,\nb", 1), (1, "c", 0)], "test": [(0, "d", 0)]}
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
+class Session:
+    """Just the settings of a session."""
+
+    def __init__(self, base, master):
+        settings = {"spark.checkpoint.dir": base}
+        self.conf = self
+        self.sparkContext = self
+        self.master = master
+        self.get = lambda name, default=None: settings.get(name, default)
+        self.getConf = lambda: self
+
+
+def test_shared_folder_follows_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark, "x").startswith(f"{tmp_path}/textscreen/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    assert not named or shared_dir(spark, "x").startswith(named)
+    assert shared_dir(Session("hdfs:/c/", "yarn"), "x").startswith("hdfs:/c/textscreen/x-")
+    assert shared_dir(Session(None, "local[2]"), "x").startswith("/")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(None, "yarn"), "x")
 
 
 def test_rewriting_keeps_other_columns(spark):

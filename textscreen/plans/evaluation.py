@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import workflows
 from ..functions import scores as score_functions, text
 from ..operators import checks, evaluate, joins, runs as run_operators
+from ..session import shared_dir
+from ..sources import writers
 from .fixtures import TOKEN_SQL, functions, pair_preds, preds, runs, scores, split_functions, table, truth
 from .registered import query
 
@@ -217,3 +220,34 @@ def before_after_delta(spark, sf):
 @query("SELECT idx, round(exp(s1) / (exp(s0) + exp(s1)), 9) AS y_pred FROM scores", "scores")
 def softmax_p1(spark, sf):
     return scores(spark, sf).select("idx", F.round(score_functions.softmax_at(F.col("scores"), 1), 9).alias("y_pred"))
+
+
+_PAIR_BOARD = f"SELECT model, {_POOLED} GROUP BY model"
+
+
+@query(
+    f"""SELECT model, {_METRICS.split("AS accuracy,")[1]} FROM (WITH c AS MATERIALIZED ({_PAIR_BOARD}) SELECT * FROM c UNION ALL
+    SELECT 'safe baseline', tn + fp, 0, fn + tp, 0 FROM c WHERE model = 'm2' UNION ALL
+    SELECT 'vuln baseline', 0, tn + fp, 0, fn + tp FROM c WHERE model = 'm2')""",
+    "functions",
+    "pair_preds",
+    "united",
+)
+def pair_leaderboard(spark, sf):
+    rows = pair_preds(spark, sf).withColumn("file", F.concat_ws("-", "dataset", "kind"))
+    root = writers.write_csv(rows.select("model", "file", "before", "after"), shared_dir(spark, "pairs"), ["model", "file"])
+    return workflows.pair_leaderboard(workflows.pair_predictions(spark, root))
+
+
+@query(
+    f"""SELECT model, tn, fp, fn, tp, {_METRICS}, average_precision FROM conf JOIN (
+    SELECT model, round(sum(tp / total * ctp / cn), 8) AS average_precision FROM (
+    SELECT model, tp::double AS tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY model) AS total FROM (
+    SELECT model, y_pred, sum(target)::double AS tp, count(*)::double AS n FROM preds GROUP BY ALL)
+    WINDOW w AS (PARTITION BY model ORDER BY y_pred DESC)) GROUP BY model) USING (model)""",
+    "preds",
+    "conf",
+)
+def row_report(spark, sf):
+    report = workflows.row_report(preds(spark, sf), ["model"])
+    return report.withColumn("average_precision", F.round("average_precision", 8))

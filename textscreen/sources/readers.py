@@ -13,7 +13,7 @@ PAIR_PREDICTIONS = StructType([StructField("before", DoubleType()), StructField(
 
 SPLIT_IN_NAME = r"([^_/=]+?)(?:[.][A-Za-z0-9]+)*(?:/part-[^/]*)?$"
 MODEL_AND_FILE = r"(?:^|/)(?:model=)?([^/=]+)/(?:file=)?([^/=]+?)(?:[.]csv)?(?:/part-[^/]*)?$"
-RUN_NAME = r"^(.+)_([^_]+)_on_(.+)[.]txt$"
+RUN_NAME = r"(?:^|/)([^/]+)_([^_/]+)_on_([^/]+)[.]txt(?:/part-[^/]*)?$"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | None = None, multi_line: bool = True) -> DataFrame:
@@ -57,11 +57,12 @@ def with_path_dims(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def with_run_dims(df: DataFrame, name: str = "name") -> DataFrame:
-    """``model``, ``trained_on`` and ``tested_on`` from ``[model]_[train]_on_[test].txt``."""
+    """``model``, ``trained_on`` and ``tested_on`` from a name or path ``[model]_[train]_on_[test].txt``."""
     parts = {"model": 1, "trained_on": 2, "tested_on": 3}
     return df.withColumns({out: F.regexp_extract(name, RUN_NAME, group) for out, group in parts.items()})
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``idx<TAB>probability`` text files."""
-    return spark.read.schema(PREDICTIONS).option("sep", "\t").csv(path)
+    """``idx<TAB>probability`` text files, one or a folder of them, each with its path."""
+    lines = spark.read.schema(PREDICTIONS).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
+    return lines.select("*", F.col("_metadata.file_path").alias("path"))
