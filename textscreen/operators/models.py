@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -51,14 +53,25 @@ def score_in_batches(
 
 
 def select_model(
-    train: DataFrame, valid: DataFrame, grid: list[dict], target: str = "target", row_id: str = "idx", weight: str | None = None
+    train: DataFrame,
+    valid: DataFrame,
+    grid: list[dict],
+    target: str = "target",
+    row_id: str = "idx",
+    weight: str | None = None,
+    parallelism: int = 4,
 ):
     """Fit every setting, rate it by average precision on ``valid`` and give (best model, rated settings).
 
     Rates are (setting number, average precision); the first of equals wins.
     Both tables are read once per setting: pass written tables, not long plans.
     """
-    models = [train_weighted(train, target=target, weight=weight, **options) for options in grid]
+
+    def fit(options: dict):
+        return train_weighted(train, target=target, weight=weight, **options)
+
+    with ThreadPool(min(parallelism, len(grid))) as pool:
+        models = pool.map(inheritable_thread_target(train.sparkSession)(fit), grid)
     truth = valid.select(row_id, target)
     rated = None
     for number, model in enumerate(models):

@@ -10,7 +10,8 @@ from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import curriculum
 from ..session import materialise
-from .fixtures import TOKEN_SQL, functions, split_functions, table, truth, u
+from ..sources.readers import spread
+from .fixtures import TOKEN_SQL, functions, split_functions, table, texts, truth, u
 from .registered import query
 
 
@@ -29,9 +30,9 @@ _SOURCES_SQL = "SELECT 'text' AS kind, doc_id AS idx, text AS func FROM document
 
 def _sources(spark, sf) -> DataFrame:
     """Every text and every raw page, which has braces in its style block."""
-    texts = table(spark, sf, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("idx"), F.col("text").alias("func"))
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("idx"), F.col("html").alias("func"))
-    return texts.unionByName(pages)
+    written = texts(spark, sf).select(F.lit("text").alias("kind"), F.col("doc_id").alias("idx"), F.col("text").alias("func"))
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("idx"), F.col("html").alias("func"))
+    return written.unionByName(pages)
 
 
 def _imputed_sql(value: str, low: str, high: str, seed: str = "42") -> str:
@@ -45,7 +46,7 @@ def len_difficulty(spark, sf):
 
 @query(f"SELECT doc_id, {token_count_sql('text')} AS difficulty FROM documents")
 def token_difficulty(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).alias("difficulty"))
+    return texts(spark, sf).select("doc_id", text.token_count(F.col("text")).alias("difficulty"))
 
 
 @query(f"SELECT kind, idx, {complexity_sql('func')} AS difficulty FROM ({_SOURCES_SQL})")

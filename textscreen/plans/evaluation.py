@@ -9,7 +9,7 @@ from ..functions import scores as score_functions, text
 from ..operators import checks, evaluate, joins, runs as run_operators
 from ..session import shared_dir
 from ..sources import writers
-from .fixtures import TOKEN_SQL, functions, pair_preds, preds, runs, scores, split_functions, table, truth
+from .fixtures import TOKEN_SQL, functions, pair_preds, preds, runs, scores, split_functions, table, texts, truth
 from .registered import query
 
 _BOARD = ("preds", "conf", "conf_with_baselines", "board")
@@ -128,7 +128,7 @@ def micro_metrics(spark, sf):
 def nested_mean(spark, sf):
     parts = F.filter(F.split("text", "\n"), lambda p: p != "")
     mean = text.mean_of_parts(parts, text.token_count)
-    return table(spark, sf, "documents").select("doc_id", F.round(mean, 8).alias("tokens"))
+    return texts(spark, sf).select("doc_id", F.round(mean, 8).alias("tokens"))
 
 
 @query("SELECT run, epoch, greatest(0, max(val_ap) OVER (PARTITION BY run ORDER BY epoch)) AS best FROM runs", "runs")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sequence, text
 from ..functions.hashing import uniform
+from ..sources.readers import spread
 
 MODELS = ["m0", "m1", "m2"]
 STEPS = FEATURES = 8
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over all cores for work on their text."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def functions(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled texts as ``(idx, func, target, dataset, project)``."""
     labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
@@ -88,8 +94,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents")
-    return documents.select(F.col("doc_id").alias("idx"), text.tokenize(F.col("text")).alias("tokens"))
+    return texts(spark, sf).select(F.col("doc_id").alias("idx"), text.tokenize(F.col("text")).alias("tokens"))
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:

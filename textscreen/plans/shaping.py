@@ -8,7 +8,7 @@ from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import evaluate, joins, ordered, rewrite, sequences, split, staging
 from ..session import materialise
-from .fixtures import flags, functions, pair_preds, pairs, preds, raw_text, scores, split_functions, table, tokens, truth, u, vocab
+from .fixtures import flags, functions, pair_preds, pairs, preds, raw_text, scores, split_functions, table, texts, tokens, truth, u, vocab
 from .registered import query
 from .sources import CLEAN_SQL
 
@@ -85,7 +85,7 @@ def prefix_text(spark, sf):
 
 @query(f"SELECT doc_id, {CLEAN_SQL} AS func, 'ok' AS status FROM documents")
 def rewrite_text(spark, sf):
-    raw = table(spark, sf, "documents").select("doc_id", raw_text().alias("func"))
+    raw = texts(spark, sf).select("doc_id", raw_text().alias("func"))
     return rewrite.rewrite_text(raw)
 
 

@@ -9,7 +9,7 @@ from ..session import shared_dir
 from ..sources import readers, writers
 from ..sources.catalog import Catalog, Dataset
 from ..operators.rewrite import rewrite_text
-from .fixtures import functions, pair_preds, preds, raw_text, runs, split_functions, table, truth, u
+from .fixtures import functions, pair_preds, preds, raw_text, runs, split_functions, table, texts, truth, u
 from .registered import query
 
 _CLEAN = r"""regexp_replace(regexp_replace(replace(regexp_replace({}, '\r\n?', chr(10), 'g'), chr(9), '    '),
@@ -88,7 +88,7 @@ def sink_pred_lines(spark, sf):
 @query(f"SELECT doc_id AS idx, {CLEAN_SQL} AS func, 0 AS target FROM documents")
 def publish_rewrite(spark, sf):
     root = shared_dir(spark, "published")
-    raw = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), raw_text().alias("func"), F.lit(0).alias("target"))
+    raw = texts(spark, sf).select(F.col("doc_id").alias("idx"), raw_text().alias("func"), F.lit(0).alias("target"))
     writers.publish(raw, root)
     current = readers.read_jsonl(spark, writers.current_path(spark, root))
     writers.publish(rewrite_text(current).drop("status"), root)

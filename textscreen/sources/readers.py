@@ -38,6 +38,17 @@ def read_tree(spark: SparkSession, root: str, schema: StructType = PREDICTIONS,
     return files.select("*", F.col("_metadata.file_path").alias("path"))
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use every core for heavy work per row on a scan of only a few row groups.
+
+    A scan is cut at row groups at best, so a small file may end up on one task.
+    A scan with at least as many splits as there are cores is left as it is: no
+    large table is ever shuffled for this. ``scan`` is a plain file scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def split_from_path(path: Column) -> Column:
     """Last ``_`` part of the file's stem, such as ``train`` in ``lbv1_function_train.csv``."""
     return F.regexp_extract(path, SPLIT_IN_NAME, 1)
