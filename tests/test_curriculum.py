@@ -104,6 +104,9 @@ def test_linear_schedule(spark, epoch, want):
     assert {r["idx"] for r in hard} == set(range(100 - want, 100))
     easy = curriculum.scheduled_subset(df, config, epoch, order="easy_first").collect()
     assert {r["idx"] for r in easy} == set(range(want))
+    for order, rows in (("hard_first", hard), ("easy_first", easy)):
+        ranked = curriculum.epoch_rows(curriculum.rank_for_epochs(df, order=order), config, epoch)
+        assert {r["idx"] for r in ranked.collect()} == {r["idx"] for r in rows}
 
 
 def test_schedules_by_name(spark):
@@ -112,6 +115,8 @@ def test_schedules_by_name(spark):
     assert curriculum.scheduled_subset(df, {}, 4) is df
     with pytest.raises(ValueError, match="unknown schedule"):
         curriculum.scheduled_subset(df, {"schedule": "cosine"}, 0)
+    with pytest.raises(ValueError, match="unknown order"):
+        curriculum.rank_for_epochs(df, order="random")
 
 
 @pytest.mark.parametrize("sizes", [{0: 1, 1: 2}, {0: 9, 1: 10}, {0: 11, 1: 700}])

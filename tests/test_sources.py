@@ -31,24 +31,24 @@ def test_jsonl_round_trip_and_unknown_keys(spark, tmp_path):
 
 
 def test_split_from_path(spark):
-    paths = ["file:/in/lbv1_function_train.csv", "/in/VDISC_validate.hdf5", "/out/split=test/part-00000-ab.c000.json", "/x/dev.jsonl"]
+    paths = ["file:/in/set_v1_train.csv", "/in/RAW_validate.bin", "/out/split=test/part-00000-ab.c000.json", "/x/dev.jsonl"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r[0] for r in df.select(readers.split_from_path(F.col("p"))).collect()] == ["train", "validate", "test", "dev"]
 
 
 def test_path_dims_of_plain_files(spark, tmp_path):
-    for model, name in (("m", "d2a-safe"), ("m", "draper-vuln"), ("other-model", "all")):
+    for model, name in (("m", "seta-safe"), ("m", "setb-vuln"), ("other-model", "all")):
         (tmp_path / model).mkdir(exist_ok=True)
         (tmp_path / model / f"{name}.csv").write_text("before,after\n0.5,0.25\n")
     tree = readers.with_path_dims(readers.read_tree(spark, str(tmp_path), readers.PAIR_PREDICTIONS))
     got = {(r["model"], r["dataset"], r["kind"], r["before"]) for r in tree.collect()}
-    assert got == {("m", "d2a", "safe", 0.5), ("m", "draper", "vuln", 0.5), ("other-model", "all", None, 0.5)}
+    assert got == {("m", "seta", "safe", 0.5), ("m", "setb", "vuln", 0.5), ("other-model", "all", None, 0.5)}
 
 
 def test_run_names_with_underscores(spark):
-    df = spark.createDataFrame([("codebert_codexglue_on_big_safe_after.txt",), ("my_model_d2a_on_x.txt",)], "name string")
+    df = spark.createDataFrame([("bert_seta_on_big_safe_after.txt",), ("my_model_setb_on_x.txt",)], "name string")
     got = [(r["model"], r["trained_on"], r["tested_on"]) for r in readers.with_run_dims(df).collect()]
-    assert got == [("codebert", "codexglue", "big_safe_after"), ("my_model", "d2a", "x")]
+    assert got == [("bert", "seta", "big_safe_after"), ("my_model", "setb", "x")]
 
 
 def test_prediction_lines(spark, tmp_path):
@@ -60,11 +60,11 @@ def test_prediction_lines(spark, tmp_path):
 
 def test_folder_of_runs(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5)], readers.PREDICTIONS)
-    for name in ("m_d2a_on_big_safe_after", "n_k_draper_on_x"):
+    for name in ("m_seta_on_big_safe_after", "n_k_setb_on_x"):
         writers.write_prediction_lines(df, str(tmp_path / f"{name}.txt"))
     lines = readers.with_run_dims(readers.read_prediction_lines(spark, str(tmp_path)), "path")
     got = {(r["model"], r["trained_on"], r["tested_on"], r["y_pred"]) for r in lines.collect()}
-    assert got == {("m", "d2a", "big_safe_after", 0.5), ("n_k", "draper", "x", 0.5)}
+    assert got == {("m", "seta", "big_safe_after", 0.5), ("n_k", "setb", "x", 0.5)}
 
 
 def test_publish_reads_what_it_replaces(spark, tmp_path):
@@ -104,16 +104,16 @@ def test_catalog(spark, tmp_path):
     for split, ids in (("train", [0, 1]), ("valid", [2])):
         paths[split] = writers.write_jsonl(rows(spark).filter(F.col("idx").isin(ids)), str(tmp_path / split))
     described = f"train: {paths['train']}\nvalid: {paths['valid']}\ntest: {paths['valid']}\nlabels: [ safe, vulnerable ]\n"
-    catalog = Catalog(load_dataset("d2a", described))
-    assert catalog.get("d2a").labels == ["safe", "vulnerable"]
-    stages = {s: sorted((r["idx"], r["split"]) for r in catalog.load(spark, "d2a", s).collect()) for s in ("fit", "test", None)}
+    catalog = Catalog(load_dataset("texts", described))
+    assert catalog.get("texts").labels == ["safe", "vulnerable"]
+    stages = {s: sorted((r["idx"], r["split"]) for r in catalog.load(spark, "texts", s).collect()) for s in ("fit", "test", None)}
     assert stages["fit"] == [(0, "train"), (1, "train"), (2, "valid")]
     assert stages["test"] == [(2, "test")]
     assert stages[None] == sorted(stages["fit"] + stages["test"])
     with pytest.raises(ValueError, match="unknown data set"):
-        catalog.load_split(spark, "draper", "train")
+        catalog.load_split(spark, "others", "train")
     with pytest.raises(ValueError, match="unknown stage"):
-        catalog.load(spark, "d2a", "predict")
+        catalog.load(spark, "texts", "predict")
 
 
 def test_staging_from_csv_files(spark, tmp_path):

@@ -8,7 +8,7 @@ from ..functions import text
 from ..functions.hashing import uniform
 from ..functions.registry import Registry
 from .joins import with_scalars
-from .ordered import smallest
+from .ordered import assign_idx, smallest
 
 # Builders take (text column, id column, seed) and give a number per row.
 DIFFICULTIES = Registry("difficulty")
@@ -76,30 +76,42 @@ def epoch_share(epoch: int, steps: int, share: float) -> float:
     return (epoch // steps + 1) * share
 
 
-def curriculum_subset(
-    df: DataFrame,
-    epoch: int,
-    linear_steps: int,
-    linear_split: float,
-    weight: str = "weight",
-    row_id: str = "idx",
-    order: str = "hard_first",
-) -> DataFrame:
-    """The rows of one epoch: the smallest weights first, ties by id."""
-    share = F.lit(float(epoch_share(epoch, linear_steps, linear_split)))
-    count = F.least(F.col("n_rows"), F.floor(F.col("n_rows") * share))
-    if order == "hard_first":
-        return smallest(df, weight, row_id, count)
-    if order == "easy_first":
-        return smallest(df.withColumn("_easy", -F.col(weight)), "_easy", row_id, count).drop("_easy")
-    raise ValueError(f"unknown order: {order!r}")
-
-
-def scheduled_subset(df: DataFrame, config: dict, epoch: int, **columns) -> DataFrame:
-    """Apply a curriculum configuration: no schedule or ``none`` keeps every row."""
+def _keyed(df: DataFrame, weight: str, order: str) -> DataFrame:
+    if order not in ("hard_first", "easy_first"):
+        raise ValueError(f"unknown order: {order!r}")
+    return df.withColumn("_key", F.col(weight) if order == "hard_first" else -F.col(weight))
+
+
+def _epoch_count(config: dict, epoch: int, rows: Column) -> Column:
+    """How many rows an epoch uses; all of them without a schedule."""
     schedule = config.get("schedule", "none")
     if schedule == "none":
-        return df
+        return rows
     if schedule == "linear":
-        return curriculum_subset(df, epoch, config["linear_steps"], config["linear_split"], **columns)
+        share = epoch_share(epoch, config["linear_steps"], config["linear_split"])
+        return F.least(rows, F.floor(rows * F.lit(float(share))))
     raise ValueError(f"unknown schedule: {schedule!r}")
+
+
+def scheduled_subset(
+    df: DataFrame, config: dict, epoch: int, weight: str = "weight", row_id: str = "idx", order: str = "hard_first"
+) -> DataFrame:
+    """The rows of one epoch under a curriculum configuration: the smallest weights first, ties by id."""
+    count = _epoch_count(config, epoch, F.col("n_rows"))
+    if config.get("schedule", "none") == "none":
+        return df
+    return smallest(_keyed(df, weight, order), "_key", row_id, count).drop("_key")
+
+
+def rank_for_epochs(df: DataFrame, weight: str = "weight", row_id: str = "idx", order: str = "hard_first") -> DataFrame:
+    """Add ``position`` and ``position_total`` once, so that every epoch is a filter.
+
+    Write the result before the epochs read it.
+    """
+    ranked = assign_idx(_keyed(df, weight, order), "_key", row_id, name="position", totals=True)
+    return ranked.drop("_key")
+
+
+def epoch_rows(ranked: DataFrame, config: dict, epoch: int) -> DataFrame:
+    """The rows of one epoch from a ranked table."""
+    return ranked.filter(F.col("position") < _epoch_count(config, epoch, F.col("position_total")))

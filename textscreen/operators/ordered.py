@@ -191,12 +191,21 @@ def _ranked(df: DataFrame, order: list, by: list[str] | None, name: str, buckets
 
 
 def assign_idx(
-    df: DataFrame, key: str, tie: str | None = None, by: list[str] | None = None, name: str = "idx", parts: int | None = None
+    df: DataFrame,
+    key: str,
+    tie: str | None = None,
+    by: list[str] | None = None,
+    name: str = "idx",
+    parts: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Zero-based contiguous number in the order (key, tie), restarted per ``by`` group."""
+    """Zero-based contiguous number in the order (key, tie), restarted per ``by`` group.
+
+    ``totals`` adds the size of the group as ``<name>_total``.
+    """
     order = [F.col(c).asc_nulls_first() for c in (key, tie) if c]
     bucketed = with_value_bucket(df, key, tie, parts)
-    return _ranked(bucketed, order, by, name, [BUCKET]).drop(BUCKET)
+    return _ranked(bucketed, order, by, name, [BUCKET], totals).drop(BUCKET)
 
 
 def file_order(df: DataFrame) -> DataFrame:

@@ -90,20 +90,31 @@ def impute_range(spark, sf):
 _LENGTH_WEIGHTS = "SELECT idx, 1 - length(func)::double / (max(length(func)) OVER () + 1) AS weight FROM functions"
 
 
-@query(
-    f"""SELECT epoch, idx, weight FROM (SELECT *, row_number() OVER (ORDER BY weight, idx) - 1 AS r, count(*) OVER () AS n
+_EPOCHS_SQL = f"""SELECT epoch, idx, weight FROM (SELECT *, row_number() OVER (ORDER BY weight, idx) - 1 AS r, count(*) OVER () AS n
     FROM ({_LENGTH_WEIGHTS})), (VALUES (0), (3), (9)) e(epoch)
-    WHERE r < least(n, floor(n * ((epoch // 2 + 1) * 0.3::double)))""",
-    "functions",
-)
-def curriculum_linear(spark, sf):
+    WHERE r < least(n, floor(n * ((epoch // 2 + 1) * 0.3::double)))"""
+_LINEAR = {"schedule": "linear", "linear_steps": 2, "linear_split": 0.3}
+
+
+def _length_weights(spark, sf):
     measured = functions(spark, sf).select("idx", text.char_length(F.col("func")).alias("difficulty"))
-    weighted = materialise(curriculum.difficulty_weight(measured, "difficulty").select("idx", "weight"), "weights")
-    config = {"schedule": "linear", "linear_steps": 2, "linear_split": 0.3}
-    epochs = [curriculum.scheduled_subset(weighted, config, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
+    return curriculum.difficulty_weight(measured, "difficulty").select("idx", "weight")
+
+
+@query(_EPOCHS_SQL, "functions")
+def curriculum_linear(spark, sf):
+    weighted = materialise(_length_weights(spark, sf), "weights")
+    epochs = [curriculum.scheduled_subset(weighted, _LINEAR, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
     return reduce(DataFrame.unionByName, epochs)
 
 
+@query(_EPOCHS_SQL, "functions")
+def curriculum_epochs(spark, sf):
+    ranked = materialise(curriculum.rank_for_epochs(_length_weights(spark, sf)), "ranked")
+    epochs = [curriculum.epoch_rows(ranked, _LINEAR, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
+    return reduce(DataFrame.unionByName, epochs).select("epoch", "idx", "weight")
+
+
 def _by_name_sql() -> str:
     branches = []
     measures = {

@@ -50,7 +50,7 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 
 def split_from_path(path: Column) -> Column:
-    """Last ``_`` part of the file's stem, such as ``train`` in ``lbv1_function_train.csv``."""
+    """Last ``_`` part of the file's stem, such as ``train`` in ``set_v1_train.csv``."""
     return F.regexp_extract(path, SPLIT_IN_NAME, 1)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import sequence
 from .functions.scores import above, sample_weight
 from .operators import checks, evaluate, models
-from .operators.curriculum import curriculum_weights, scheduled_subset
+from .operators.curriculum import curriculum_weights, epoch_rows, rank_for_epochs
 from .operators.joins import join_truth
 from .operators.rewrite import unpivot_pairs
 from .operators.runs import top_checkpoints
@@ -65,13 +65,15 @@ def train_and_test(
         weighted = curriculum_weights(rows, curriculum["type"]).select("idx", "target", F.col("weight").alias("difficulty"))
         weighted = weighted.withColumn("weight", sample_weight(F.col("difficulty"), curriculum["weight"]))
         joined = evaluate.with_class_weight(weighted).join(pooled_features(rows, vocab, length, features), "idx")
+        if split == "train":
+            joined = rank_for_epochs(joined, "difficulty")
         # Every epoch reads these again, so they are computed once.
         tables[split] = materialise(joined, f"{run}-{split}")
 
     fitted, spark = [], vocab.sparkSession
     metrics_path = f"{out}/run_metrics"
     for epoch in range(epochs):
-        subset = scheduled_subset(tables["train"], curriculum, epoch, weight="difficulty")
+        subset = epoch_rows(tables["train"], curriculum, epoch)
         fitted.append(models.train_weighted(subset, weight="weight", **options))
         found = [
             (run, epoch, split, name, float(value))
