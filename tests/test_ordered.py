@@ -60,6 +60,12 @@ def test_tiny_tables(spark, rows):
     assert sorted(r["pos"] for r in ordered.assign_idx(df, "key", "id", name="pos").collect()) == list(range(len(rows)))
 
 
+def test_keys_must_be_numbers(spark):
+    for kind in ("string", "decimal(10,2)"):
+        with pytest.raises(TypeError, match="cannot order by k"):
+            ordered.assign_idx(spark.range(3).select(F.col("id").cast(kind).alias("k")), "k")
+
+
 def test_assign_idx_restarts_per_group(spark):
     rows = [(i, i % 3) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, part long")

@@ -37,12 +37,12 @@ def test_split_from_path(spark):
 
 
 def test_path_dims_of_plain_files(spark, tmp_path):
-    for model, name in (("m", "seta-safe"), ("m", "setb-vuln"), ("other-model", "all")):
+    for model, name in (("m", "seta-safe"), ("m", "setb-vuln"), ("other model+1", "all")):
         (tmp_path / model).mkdir(exist_ok=True)
         (tmp_path / model / f"{name}.csv").write_text("before,after\n0.5,0.25\n")
     tree = readers.with_path_dims(readers.read_tree(spark, str(tmp_path), readers.PAIR_PREDICTIONS))
     got = {(r["model"], r["dataset"], r["kind"], r["before"]) for r in tree.collect()}
-    assert got == {("m", "seta", "safe", 0.5), ("m", "setb", "vuln", 0.5), ("other-model", "all", None, 0.5)}
+    assert got == {("m", "seta", "safe", 0.5), ("m", "setb", "vuln", 0.5), ("other model+1", "all", None, 0.5)}
 
 
 def test_run_names_with_underscores(spark):
@@ -141,6 +141,19 @@ class Session:
         self.getConf = lambda: self
 
 
+def test_staging_pairs_from_a_csv_file(spark, tmp_path):
+    head = [c.replace("_", " ") for c in staging.PAIR_DROPPED if c not in ("unnamed:_0", "vul")]
+    lines = [",".join(["Unnamed: 0", "CVE ID", "vul", "func before", "func after", *head])]
+    for i, (cve, vul) in enumerate((("CVE-1", 1), ("", 1), ("CVE-2", 0), ("CVE-3", 1))):
+        lines.append(",".join([str(i), cve, str(vul), f'"before {i},\n"', f"after {i}", *["x"] * len(head)]))
+    (tmp_path / "pairs.csv").write_text("\n".join(lines) + "\n")
+    raw = materialise(file_order(readers.read_csv(spark, str(tmp_path / "pairs.csv"))), "pairs")
+    pairs = staging.stage_pairs(raw)
+    assert sorted(pairs.columns) == ["cve_id", "func_after", "func_before", "idx", "kind"]
+    got = {(r["kind"], r["idx"], r["cve_id"], r["func_before"]) for r in pairs.collect()}
+    assert got == {("vuln", 0, "CVE-1", "before 0,\n"), ("vuln", 1, "CVE-3", "before 3,\n"), ("safe", 0, "CVE-2", "before 2,\n")}
+
+
 def test_shared_folder_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark, "x") != shared_dir(spark, "x")

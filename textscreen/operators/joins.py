@@ -38,7 +38,8 @@ def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit
     hot = [r[key] for r in counted.orderBy(F.desc("_n")).limit(HOT_KEYS).collect()]
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
+    # Rows without a key match nothing, but they too must not meet on one task.
+    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = table.withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

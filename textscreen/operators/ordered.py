@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
 from ..functions.hashing import order_hash
 
@@ -52,7 +52,12 @@ class Cuts:
 
 def _sketch(df: DataFrame, column: str) -> str:
     """Which quantile sketch fits the column: whole numbers must keep every digit."""
-    return "bigint" if isinstance(df.schema[column].dataType, IntegralType) else "double"
+    kind = df.schema[column].dataType
+    if isinstance(kind, IntegralType):
+        return "bigint"
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        return "double"
+    raise TypeError(f"cannot order by {column} of type {kind.simpleString()}: cast it to a long or a double")
 
 
 def _finite(values) -> list:

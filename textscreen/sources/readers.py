@@ -31,11 +31,16 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType =
     return spark.read.schema(schema).json(path)
 
 
+def _file_path() -> Column:
+    """The file's path as it was written; the metadata column gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_tree(spark: SparkSession, root: str, schema: StructType = PREDICTIONS, form: str = "csv") -> DataFrame:
     """Every file below ``root`` in one scan, with its path in ``path``."""
     reader = spark.read.schema(schema).option("recursiveFileLookup", True)
     files = reader.option("header", True).csv(root) if form == "csv" else reader.json(root)
-    return files.select("*", F.col("_metadata.file_path").alias("path"))
+    return files.select("*", _file_path().alias("path"))
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -76,4 +81,4 @@ def with_run_dims(df: DataFrame, name: str = "name") -> DataFrame:
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """``idx<TAB>probability`` text files, one or a folder of them, each with its path."""
     lines = spark.read.schema(PREDICTIONS).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
-    return lines.select("*", F.col("_metadata.file_path").alias("path"))
+    return lines.select("*", _file_path().alias("path"))
