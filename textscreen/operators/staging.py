@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
 from .ordered import assign_idx, assign_idx_by_file, shuffle_rank
 from .rewrite import any_flag, canonical, decode_utf8, drop_columns, normalize_columns, unpivot_pairs, with_default
 from .split import stratified_split
@@ -61,8 +62,10 @@ def stage_stratified(raw: DataFrame, seed: int = 42) -> DataFrame:
     """``(idx, func, target)`` to exact 80/10/10 parts.
 
     ``idx`` becomes the shuffled position inside the part; ``source_idx`` keeps
-    the number the row came with.
+    the number the row came with. Ranks are worked out on the narrow columns, so
+    the texts are shuffled once, by the join at the end.
     """
-    parts = stratified_split(canonical(raw, "func", "target", "idx"), seed)
-    parts = parts.withColumnRenamed("idx", "source_idx")
-    return shuffle_rank(parts, seed, "source_idx", ["split"], name="idx")
+    rows = canonical(raw, "func", "target", "idx")
+    parts = materialise(stratified_split(rows.select("idx", "target"), seed).drop("target"), "parts")
+    numbered = shuffle_rank(parts.withColumnRenamed("idx", "source_idx"), seed, "source_idx", ["split"], name="idx")
+    return rows.withColumnRenamed("idx", "source_idx").join(numbered, "source_idx")

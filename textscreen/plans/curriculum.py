@@ -18,11 +18,11 @@ from .registered import query
 def complexity_sql(column: str) -> str:
     code = rf"regexp_replace({column}, '(?s)/\*.*?\*/|//[^\n]*', ' ', 'g')"
     decisions = r"'\b(if|for|while|case|catch)\b|&&|[|][|]|[?]'"
-    return f"CASE WHEN contains({column}, '{{') THEN 1 + len(regexp_extract_all({code}, {decisions})) END"
+    return f"CASE WHEN contains({column}, '{{') THEN (1 + len(regexp_extract_all({code}, {decisions})))::int END"
 
 
 def token_count_sql(column: str) -> str:
-    return f"len(regexp_extract_all({column}, {TOKEN_SQL}))"
+    return f"len(regexp_extract_all({column}, {TOKEN_SQL}))::int"
 
 
 _SOURCES_SQL = "SELECT 'text' AS kind, doc_id AS idx, text AS func FROM documents UNION ALL SELECT 'page', page_id, html FROM pages"
@@ -39,7 +39,7 @@ def _imputed_sql(value: str, low: str, high: str, seed: str = "42") -> str:
     return f"coalesce({value}::double, (trunc({low}) + floor({u(chr(39) + seed + chr(39), 'idx')} * (trunc({high}) - trunc({low}))))::double)"
 
 
-@query("SELECT doc_id, length(text) AS difficulty FROM documents")
+@query("SELECT doc_id, length(text)::int AS difficulty FROM documents")
 def len_difficulty(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.char_length(F.col("text")).alias("difficulty"))
 
