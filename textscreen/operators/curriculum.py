@@ -8,7 +8,7 @@ from ..functions import text
 from ..functions.hashing import uniform
 from ..functions.registry import Registry
 from .joins import with_scalars
-from .ordered import assign_idx, smallest
+from .ordered import Cuts, assign_idx, smallest, value_cuts
 
 # Builders take (text column, id column, seed) and give a number per row.
 DIFFICULTIES = Registry("difficulty")
@@ -93,14 +93,28 @@ def _epoch_count(config: dict, epoch: int, rows: Column) -> Column:
     raise ValueError(f"unknown schedule: {schedule!r}")
 
 
+def weight_cuts(df: DataFrame, weight: str = "weight", row_id: str = "idx", order: str = "hard_first") -> Cuts:
+    """Cut points of the weights, to be shared by the epochs of one table."""
+    return value_cuts(_keyed(df, weight, order), "_key", row_id)
+
+
 def scheduled_subset(
-    df: DataFrame, config: dict, epoch: int, weight: str = "weight", row_id: str = "idx", order: str = "hard_first"
+    df: DataFrame,
+    config: dict,
+    epoch: int,
+    weight: str = "weight",
+    row_id: str = "idx",
+    order: str = "hard_first",
+    cuts: Cuts | None = None,
 ) -> DataFrame:
-    """The rows of one epoch under a curriculum configuration: the smallest weights first, ties by id."""
+    """The rows of one epoch under a curriculum configuration: the smallest weights first, ties by id.
+
+    Pass the ``weight_cuts`` of the table when asking for several epochs.
+    """
     count = _epoch_count(config, epoch, F.col("n_rows"))
     if config.get("schedule", "none") == "none":
         return df
-    return smallest(_keyed(df, weight, order), "_key", row_id, count).drop("_key")
+    return smallest(_keyed(df, weight, order), "_key", row_id, count, cuts=cuts).drop("_key")
 
 
 def rank_for_epochs(df: DataFrame, weight: str = "weight", row_id: str = "idx", order: str = "hard_first") -> DataFrame:

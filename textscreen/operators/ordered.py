@@ -247,25 +247,30 @@ def batches(df: DataFrame, size: int, row_id: str = "idx", seed: str | int | Non
     return ranked.withColumn("batch_id", F.floor(F.col("_rank") / size)).drop("_rank")
 
 
-def smallest(df: DataFrame, key: str, tie: str, count: Column, parts: int | None = None) -> DataFrame:
+def smallest(
+    df: DataFrame, key: str, tie: str, count: Column, parts: int | None = None, cuts: Cuts | None = None
+) -> DataFrame:
     """The first ``count`` rows in the order (key, tie); ``count`` may use the column ``n_rows``.
 
-    Whole buckets below the cut pass straight through. Only the one bucket that
-    the cut falls into is ranked, so the rest of the table is never shuffled.
+    ``cuts`` are the table's cut points where they are known from an earlier call.
+
+    The counts per bucket tell which bucket the last row falls into; only that
+    bucket and how many of its rows to take reach the driver. Buckets below it
+    pass straight through, it alone is ranked, and the rest is never shuffled.
     """
-    bucketed = with_value_bucket(df, key, tie, parts)
+    bucketed = with_cuts(df, cuts or value_cuts(df, key, tie, parts))
     prior = _prior(bucketed, [BUCKET], {"n_rows": ("count", F.lit(1))}, [], True)
-    prior = prior.withColumnRenamed("n_rows_total", "n_rows").withColumn("_count", count).drop("n_rows")
-    start, size = F.coalesce(F.col("_p_n_rows"), F.lit(0)), F.col("_t_n_rows")
-    marked = prior.filter(start < F.col("_count")).select(
-        F.col(f"{_GROUP}.{BUCKET}").alias(BUCKET),
-        (F.col("_count") - start).alias("_left"),
-        (start + size <= F.col("_count")).alias("_all"),
-    )
-    columns = df.columns
-    # The number of buckets is bounded by the number of cuts.
-    joined = bucketed.join(F.broadcast(marked), BUCKET)
-    whole = joined.filter("_all").select(*columns)
+    counted = prior.select(
+        F.col(f"{_GROUP}.{BUCKET}").alias("bucket"),
+        F.coalesce(F.col("_p_n_rows"), F.lit(0)).alias("before"),
+        F.col("_t_n_rows").alias("size"),
+        F.col("n_rows_total").alias("n_rows"),
+    ).withColumn("wanted", F.least(F.col("n_rows"), count))
+    last = counted.filter("before < wanted AND before + size >= wanted").select("bucket", F.expr("wanted - before")).first()
+    if last is None:
+        return df.filter(F.lit(False))
+    bucket, left = last
     order = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first())
-    cut = joined.filter("NOT _all").withColumn("_rank", F.row_number().over(order))
-    return whole.unionByName(cut.filter(F.col("_rank") <= F.col("_left")).select(*columns))
+    whole = bucketed.filter(F.col(BUCKET) < bucket).select(*df.columns)
+    cut = bucketed.filter(F.col(BUCKET) == bucket).withColumn("_rank", F.row_number().over(order))
+    return whole.unionByName(cut.filter(F.col("_rank") <= left).select(*df.columns))

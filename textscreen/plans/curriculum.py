@@ -104,7 +104,10 @@ def _length_weights(spark, sf):
 @query(_EPOCHS_SQL, "functions")
 def curriculum_linear(spark, sf):
     weighted = materialise(_length_weights(spark, sf), "weights")
-    epochs = [curriculum.scheduled_subset(weighted, _LINEAR, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
+    cuts = curriculum.weight_cuts(weighted)
+    epochs = [
+        curriculum.scheduled_subset(weighted, _LINEAR, e, cuts=cuts).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)
+    ]
     return reduce(DataFrame.unionByName, epochs)
 
 
