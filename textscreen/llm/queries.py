@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, packing, quality, simhash
+from . import bpe, counts, extract, lines, packing, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +93,31 @@ def op5_simhash_pivots(spark, sf):
 def op7_line_dedup(spark, sf):
     kept = lines.dedup(read(spark, sf, "documents", "doc_id", "text"))
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_line_block_text(spark, sf):
+    return extract.extract(read(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "url", "main.text", "main.n_chars")
+
+
+@query()
+def op8_cross_polytope(spark, sf):
+    return vectors.near_duplicates(read(spark, sf, "embeddings", "vec_id", "embedding", "label"), cosine=0.93)
+
+
+#: The vocabulary file; a cluster without it at this path gets it by ``SparkContext.addFile`` and its bare name.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query()
+def op9_recursive_bpe(spark, sf):
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, emit=bpe.digests, fields=fields)
+
+
+@query()
+def op10_edit_aware_counts(spark, sf):
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    counted = counts.counts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, counts.redactions)
+    return counted.select("doc_id", "counts.*")
