@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, counts, extract, lines, packing, quality, simhash, vectors
+from . import bpe, counts, extract, lines, packing, pitman_yor, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,12 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _TRIM = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 
+@query()
+def op1_pitman_yor(spark, sf):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return pitman_yor.score(read(spark, sf, "documents", "doc_id", "text"), held_out)
+
+
 @query(
     rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
