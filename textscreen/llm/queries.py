@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, counts, extract, lines, packing, pitman_yor, quality, simhash, vectors
+from . import bpe, counts, extract, licences, lines, packing, pitman_yor, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op10_edit_aware_counts(spark, sf):
     docs = read(spark, sf, "documents", "doc_id", "text")
     counted = counts.counts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, counts.redactions)
     return counted.select("doc_id", "counts.*")
+
+
+@query()
+def op6_licence_scan(spark, sf):
+    return licences.scan(read(spark, sf, "documents", "doc_id", "text"))
