@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: A block holds about so many bytes of text, or a single longer text.
 BLOCK_BYTES = 2 << 20
@@ -125,3 +125,8 @@ def per_row(df: DataFrame, column: str, measure: Callable[[pa.Array], pa.StructA
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made], [*kept, out])
 
     return source.mapInArrow(run, schema)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where lambdas inside ``use`` read it for every element."""
+    return F.get(F.transform(F.array(value), use), 0)

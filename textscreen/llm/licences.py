@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
+from .blocks import once
 
 UNKNOWN = "unknown"
 BACKGROUND = 2_000  # paragraphs of the class unknown that are fitted, at most
@@ -68,11 +69,12 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column) -> Column:
-    """Distinct pairs and triples of neighbouring words; of a shorter text its words together."""
-    def run(n: int) -> Column:
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Distinct pairs and triples of neighbouring words; none where there are fewer."""
+    def run(w: Column, n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, parts).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(run(2), run(3)))
+    return once(words, lambda w: F.array_distinct(F.concat(run(w, 2), run(w, 3))))
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,10 +143,13 @@ class Classifier:
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
-    top = F.array_max(raw)
-    powers = F.transform(raw, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    def powers(x: Column) -> Column:
+        return once(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp((y - top) / temperature)))
+
+    def shares(p: Column) -> Column:
+        return once(F.aggregate(p, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(p, lambda y: y / total))
+
+    return once(raw, lambda x: once(powers(x), shares))
 
 
 def _similarity() -> Column:

@@ -22,6 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise, shared_dir
+from .blocks import once
 
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -138,11 +139,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
 
 def _keep(text: Column, at: Column) -> Column:
     """The text without the lines at the sorted positions ``at``; unchanged where ``at`` is null."""
-    lines = _lines(text)
     count = F.size(at)
-    # The stretch before each dropped line and the one after the last, cut out as slices.
-    stretches = F.transform(
-        F.sequence(F.lit(0), count),
-        lambda i: F.slice(lines, F.when(i == 0, 1).otherwise(F.get(at, i - 1) + 2), F.when(i == count, F.size(lines)).otherwise(F.get(at, i)) - F.when(i == 0, 0).otherwise(F.get(at, i - 1) + 1)),
-    )
-    return F.when(at.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.flatten(stretches), "\n"))
+
+    def stretches(lines: Column) -> Column:
+        # The stretch before each dropped line and the one after the last, cut out as slices.
+        def stretch(i: Column) -> Column:
+            start = F.when(i == 0, 0).otherwise(F.get(at, i - 1) + 1)
+            return F.slice(lines, start + 1, F.when(i == count, F.size(lines)).otherwise(F.get(at, i)) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), count), stretch)), "\n")
+
+    return F.when(at.isNull(), F.coalesce(text, F.lit(""))).otherwise(once(_lines(text), stretches))
