@@ -162,3 +162,30 @@ def test_before_after(spark):
     df = spark.createDataFrame([(1, "before", 0.9), (1, "after", 0.4), (2, "before", 0.3)], "idx long, variant string, y_pred double")
     got = {r["idx"]: (r["before"], r["after"], r["diff"]) for r in evaluate.before_after(df, ["idx"]).collect()}
     assert got == {1: (0.9, 0.4, 0.5), 2: (0.3, None, None)}
+
+
+def test_class_weights_of_many_classes_and_of_another_table(spark):
+    df = spark.createDataFrame([(0,), (0,), (1,), (2,), (7,), (None,)], "target int")
+    got = {r["target"]: r["class_weight"] for r in evaluate.with_class_weight(df).collect()}
+    assert got == {0: 2.5, 1: 5.0, 2: 5.0, 7: 5.0, None: None}
+    other = evaluate.class_weights(df.filter("target < 2"))
+    assert {r["target"]: r["class_weight"] for r in evaluate.with_class_weight(df, weights=other).collect()} == {0: 1.5, 1: 3.0, 2: None, 7: None, None: None}
+    with pytest.raises(Exception, match="more than 2 classes"):
+        evaluate.with_class_weight(df, most=2).collect()
+
+
+def test_scores_that_are_no_number_are_not_above(spark):
+    rows = scored(spark, [(float("nan"), 0), (float("nan"), 1), (0.9, 1), (0.1, 0)])
+    counts = evaluate.confusion(rows, predicted=score_functions.above(F.col("y_pred"))).first()
+    assert tuple(counts) == (2, 0, 1, 1)
+    # They rank after every number, too.
+    assert evaluate.average_precision(rows).first()[0] == pytest.approx(0.5 + 0.5 * 2 / 4)
+
+
+def test_checks_per_group_do_not_cancel(spark):
+    pairs = spark.createDataFrame([("a", "vuln", 0.1, 0.2), ("b", "vuln", 0.1, 0.2)], "model string, kind string, before double, after double")
+    united = evaluate.union_truth(pairs).withColumn("model", F.lit("a"))
+    assert checks.cardinality_checks(pairs, united).filter("NOT ok").count() == 0
+    assert checks.cardinality_checks(pairs, united, ["model"]).filter("NOT ok").count() == 5
+    with pytest.raises(ValueError, match="a predictions: expected 2, found 4"):
+        checks.require(checks.cardinality_checks(pairs, united, ["model"]))

@@ -129,3 +129,9 @@ def test_file_order(spark, tmp_path):
     got = ordered.assign_idx_by_file(materialise(rows, "ordered")).orderBy("idx").collect()
     assert [r["n"] for r in got] == [*range(50), *range(100, 150)]
     assert [r["idx"] for r in got] == list(range(100))
+
+
+def test_frequent_values_are_cut_no_finer_than_needed(spark):
+    df = spark.range(60_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(12))).alias("key"))
+    sizes = [r["count"] for r in ordered.with_value_bucket(df, "key", "id", parts=64).groupBy("_bucket").count().collect()]
+    assert len(sizes) <= 2 * 64 + 12 and max(sizes) <= 3 * 60_000 / 64

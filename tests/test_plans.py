@@ -8,7 +8,6 @@ from textscreen.plans import QUERIES, SQL
 SMALL = "/root/testdata/sf0.001"
 PYTHON = {"score_in_batches"}
 # Windows over a table of one row per bucket, class or part are small by design.
-ROWS_ONLY = {"train_weighted", "batch_score", "select_model"}
 
 
 @pytest.fixture(scope="module")
@@ -19,17 +18,19 @@ def connection():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
     frame = QUERIES[name](spark, SMALL)
-    if name in ROWS_ONLY:
-        assert frame.count() > 0
-    else:
-        assert oracle.difference(frame, connection, SQL[name]) is None
+    assert oracle.difference(frame, connection, SQL[name]) is None
 
 
-def test_only_training_lacks_sql():
-    assert set(QUERIES) - set(SQL) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
+def test_one_scan_serves_all_difficulties(spark):
+    plan = QUERIES["difficulty_by_name"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4  # two passes over two tables
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan

@@ -86,11 +86,24 @@ def test_linear(spark):
     np.testing.assert_allclose([r["y"] for r in got], x @ w.T + b)
 
 
-def test_oversized_layer_is_refused(spark, monkeypatch):
+def test_large_layer_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    w, x = rng.normal(size=(3, 4)), rng.normal(size=(30, 4))
+    weights = spark.createDataFrame([(o, f, float(w[o, f])) for o in range(3) for f in range(4)], "o int, f int, w double")
+    bias = spark.createDataFrame([(o, float(o)) for o in range(3)], "o int, b double")
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(30, None)], "id int, vector array<double>")
+    small = sequences.linear(df, weights, bias).orderBy("id").collect()
     monkeypatch.setattr(sequences, "MATRIX_CELLS", 3)
-    weights = spark.createDataFrame([(0, f, 1.0) for f in range(4)], "o int, f int, w double")
-    with pytest.raises(ValueError, match="at most 3"):
-        sequences.linear(spark.range(1), weights, spark.createDataFrame([(0, 0.0)], "o int, b double"))
+    large = sequences.linear(df, weights, bias)
+    assert large.columns == ["id", "vector", "y"]
+    large = large.orderBy("id").collect()
+    assert small[30]["y"] is None and large[30]["y"] is None
+    np.testing.assert_allclose([r["y"] for r in large[:30]], [r["y"] for r in small[:30]])
+
+
+def test_only_positions_within_the_length_are_gathered(spark):
+    rows = spark.createDataFrame([(1, t, [float(t)]) for t in range(9)], "idx long, t int, vec array<float>")
+    assert sequences.dense_sequences(rows, 2, 1).first()["x"] == [[0.0], [1.0]]
 
 
 @pytest.mark.parametrize("limit", [1 << 30, 0])

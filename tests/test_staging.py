@@ -105,3 +105,37 @@ def test_align_keeps_the_union_of_keys(spark):
     before = spark.createDataFrame([(1, 0.1), (2, 0.2)], "idx long, y_pred double")
     after = spark.createDataFrame([(2, 0.3), (3, 0.4)], "idx long, y_pred double")
     assert {tuple(r) for r in joins.align_predictions(before, after).collect()} == {(1, 0.1, None), (2, 0.2, 0.3), (3, None, 0.4)}
+
+
+@pytest.mark.parametrize("how", [{}, {"row_id": "idx"}, {"key": "n"}, {"key": "n", "tie": "n"}])
+def test_stage_stratified_keeps_every_row_once(spark, how):
+    rows = [(f"f{i}", i % 3, None if i % 4 == 0 else i % 5, i // 6) for i in range(60)]
+    raw = spark.createDataFrame(rows, "func string, target int, idx long, n long")
+    got = staging.stage_stratified(raw, **how).collect()
+    assert sorted((r["func"], r["target"]) for r in got) == sorted((r[0], r[1]) for r in rows)
+    for part, size in (("train", 48), ("test", 6), ("valid", 6)):
+        assert sorted(r["idx"] for r in got if r["split"] == part) == list(range(size))
+
+
+def test_stage_stratified_needs_only_text_and_class(spark):
+    raw = spark.createDataFrame([(f"f{i}", i % 2, "p") for i in range(20)], "func string, target int, project string")
+    got = staging.stage_stratified(raw, keep=["project"])
+    assert set(got.columns) == {"source_idx", "func", "target", "project", "split", "idx"} and got.count() == 20
+
+
+def test_broadcast_measure_sees_nested_values(spark):
+    wide = F.array_repeat(F.lit(1.0), 500)
+    df = spark.range(10).select(F.array(wide).alias("nested"), F.struct(wide.alias("x")).alias("s"), F.create_map(F.lit("k"), wide).alias("m"))
+    assert not joins.fits_broadcast(df, 10 * 3 * 4000)
+    assert joins.fits_broadcast(df, 10 * 3 * 4000 + 10 * 300)
+
+
+def test_lookup_with_many_hot_keys(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    left = spark.range(6000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 250).alias("k"))
+    table = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    try:
+        got = joins.lookup(left, table, "k", limit=0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(r["id"] for r in got) == list(range(6000)) and all(r["v"] == 2 * r["k"] for r in got)

@@ -37,7 +37,12 @@ def trained(spark, vocab, tmp_path_factory):
 def test_training_logs_keeps_and_predicts(spark, trained):
     splits, out, result = trained
     metrics = writers.read_metrics(spark, result["metrics"])
-    assert metrics.count() == 3 * 2 * 4
+    # Four metrics and their best so far, for two splits and three epochs, and the test metrics once.
+    assert metrics.count() == 3 * 2 * 4 * 2 + 4
+    best = {r["epoch"]: r["value"] for r in metrics.filter("split = 'valid' and metric = 'max_ap'").collect()}
+    assert best[0] <= best[1] <= best[2]
+    parameters = {r["name"]: r["value"] for r in spark.read.parquet(result["parameters"]).collect()}
+    assert parameters["curriculum.type"] == "length" and parameters["epochs"] == "3"
     by_epoch = {r["epoch"]: r["value"] for r in metrics.filter("split = 'valid' and metric = 'ap'").collect()}
     assert by_epoch[result["best_epoch"]] == max(by_epoch.values()) > 0.6
     assert 2 in result["kept"] and len(result["kept"]) in (2, 3)
@@ -76,3 +81,8 @@ def test_row_leaderboard_from_files(spark, tmp_path):
     truth = spark.createDataFrame([(1, 1), (2, 1)], "idx long, target int")
     board = {r["model"]: r for r in workflows.row_leaderboard(spark, str(tmp_path), truth).collect()}
     assert (board["m"]["precision"], board["m"]["recall"]) == (1.0, 0.5)
+
+
+def test_negative_sample_weights_are_refused(vocab):
+    with pytest.raises(ValueError, match="negative sample weights"):
+        workflows.train_and_test({}, vocab, "m", "unused", {"type": "length", "weight": 2, "schedule": "none"})

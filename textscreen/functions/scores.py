@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def above(score: Column, threshold: float = 0.5) -> Column:
-    """1 when the score is strictly above the threshold."""
-    return (score > F.lit(threshold)).cast("int")
+    """1 when the score is strictly above the threshold; a score that is not a number is not above."""
+    return ((score > F.lit(threshold)) & ~F.isnan(score.cast("double"))).cast("int")
 
 
 def argmax(scores: Column) -> Column:

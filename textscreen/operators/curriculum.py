@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
@@ -56,19 +58,26 @@ def curriculum_weights(
     Missing difficulties are imputed from the observed range. The table is
     scanned once for that range and once for the weights; nothing is shuffled.
     """
-    difficulty = DIFFICULTIES.get(kind)(F.col(func), row_id, seed)
-    training = F.col(split) == "train"
-    if kind in _READY:
-        return df.withColumn("weight", F.when(training, difficulty).otherwise(1.0))
-    ranged = with_scalars(
-        df,
-        F.min(difficulty).alias("_low"),
-        F.max(difficulty).alias("_high"),
-        over=df.filter(training),
-    )
-    filled = imputed(difficulty, F.col("_low"), F.col("_high"), row_id, seed)
-    weight = F.when(training, to_weight(filled, F.col("_high").cast("double"))).otherwise(1.0)
-    return ranged.withColumn("weight", weight).drop("_low", "_high")
+    return curriculum_columns(df, {"weight": kind}, split, func, row_id, seed)
+
+
+def curriculum_columns(
+    df: DataFrame, kinds: dict[str, str], split: str = "split", func: str = "func", row_id: str = "idx", seed: str | int = 42
+) -> DataFrame:
+    """Several ``curriculum_weights`` in the same two scans: a column per name in ``kinds``."""
+    training, bounds, weights, ranged = F.col(split) == "train", [], {}, df
+    for i, (out, kind) in enumerate(kinds.items()):
+        difficulty = DIFFICULTIES.get(kind)(F.col(func), row_id, seed)
+        if kind not in _READY:
+            low, high = f"_low{i}", f"_high{i}"
+            bounds += [F.min(difficulty).alias(low), F.max(difficulty).alias(high)]
+            filled = imputed(difficulty, F.col(low), F.col(high), row_id, seed)
+            difficulty = to_weight(filled, F.col(high).cast("double"))
+        weights[out] = F.when(training, difficulty).otherwise(1.0)
+    if bounds:
+        ranged = with_scalars(df, *bounds, over=df.filter(training))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in weights]
+    return ranged.select(*others, *[column.alias(out) for out, column in weights.items()])
 
 
 def epoch_share(epoch: int, steps: int, share: float) -> float:
@@ -93,6 +102,16 @@ def _epoch_count(config: dict, epoch: int, rows: Column) -> Column:
     raise ValueError(f"unknown schedule: {schedule!r}")
 
 
+def epoch_size(config: dict, epoch: int, rows: int) -> int:
+    """How many of ``rows`` an epoch uses, as a number."""
+    schedule = config.get("schedule", "none")
+    if schedule == "none":
+        return rows
+    if schedule == "linear":
+        return min(rows, math.floor(rows * epoch_share(epoch, config["linear_steps"], config["linear_split"])))
+    raise ValueError(f"unknown schedule: {schedule!r}")
+
+
 def weight_cuts(df: DataFrame, weight: str = "weight", row_id: str = "idx", order: str = "hard_first") -> Cuts:
     """Cut points of the weights, to be shared by the epochs of one table."""
     return value_cuts(_keyed(df, weight, order), "_key", row_id)

@@ -23,16 +23,26 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
     return with_scalars(counts, F.sum("n").alias("_all")).select(target, "n", (F.col("_all") / F.col("n")).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, target: str = "target", classes: int = 2, out: str = "class_weight") -> DataFrame:
-    """Look up each row's class weight.
-
-    The classes are known beforehand, so their counts travel as one broadcast
-    row instead of a join on a key that may hold most of the table.
+def with_class_weight(
+    df: DataFrame, target: str = "target", out: str = "class_weight", weights: DataFrame | None = None, most: int = 100_000
+) -> DataFrame:
+    """Look up each row's class weight, for any number of classes.
+
+    ``weights`` is the ``class_weights`` table of the rows that set them, such as
+    the training split; by default they come from ``df``. A row without a class
+    gets no weight, nor does a class that ``weights`` lacks. The table has one
+    line per class, so it travels as one broadcast map instead of a join on a key
+    that may hold most of the rows; a column of more than ``most`` different
+    values is no class and is an error.
     """
-    counts = [F.count_if(F.col(target) == c).alias(f"_n{c}") for c in range(classes)]
-    attached = with_scalars(df, F.count(target).alias("_all"), *counts)
-    lookup = F.get(F.array(*[F.col(f"_n{c}") for c in range(classes)]), F.col(target))
-    return attached.withColumn(out, F.try_divide(F.col("_all"), lookup)).drop("_all", *[f"_n{c}" for c in range(classes)])
+    if weights is None:
+        weights = class_weights(df.filter(F.col(target).isNotNull()), target)
+    known = weights.filter(F.col(target).isNotNull())
+    entries = F.collect_list(F.struct(F.col(target).cast("long").alias("class"), F.col("weight").alias("weight")))
+    checked = F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"{target} has more than {most} classes")).cast("boolean"))
+    one_row = known.agg(F.when(checked.isNull(), F.map_from_entries(entries)).alias("_weights"))
+    attached = df.crossJoin(F.broadcast(one_row))
+    return attached.withColumn(out, F.try_element_at("_weights", F.col(target).cast("long"))).drop("_weights")
 
 
 def split_counts(df: DataFrame, split: str = "split", target: str = "target") -> DataFrame:

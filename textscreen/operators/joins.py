@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import (
+    ArrayType, BinaryType, CharType, DataType, IntegerType, MapType, StringType, StructField, StructType, VarcharType,
+)
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-HOT_KEYS = 200
-SALTS = 32
+
+
+def _varies(kind: DataType) -> bool:
+    """Whether the values of a type differ in width."""
+    return isinstance(kind, (StringType, BinaryType, ArrayType, MapType, StructType, VectorUDT, VarcharType, CharType))
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """Rough bytes of a value in memory beyond its 16-byte slot, whatever is nested in it."""
+    if isinstance(kind, (StringType, BinaryType, VarcharType, CharType)):
+        size = F.octet_length(value).cast("long")
+    elif isinstance(kind, VectorUDT):
+        size = F.size(vector_to_array(value)).cast("long") * 12
+    elif isinstance(kind, StructType):
+        size = F.lit(0).cast("long")
+        for field in kind.fields:
+            size = size + 16 + _width(value.getField(field.name), field.dataType)
+    elif isinstance(kind, MapType):
+        size = _width(F.map_keys(value), ArrayType(kind.keyType)) + _width(F.map_values(value), ArrayType(kind.valueType))
+    elif isinstance(kind, ArrayType) and _varies(kind.elementType):
+        size = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + 16 + _width(x, kind.elementType))
+    elif isinstance(kind, ArrayType):
+        size = F.size(value).cast("long") * 8
+    else:
+        size = F.lit(0).cast("long")
+    return F.greatest(F.coalesce(size, F.lit(0).cast("long")), F.lit(0).cast("long"))
 
 
 def _bytes(df: DataFrame) -> Column:
     """Rough width of a row in memory."""
-    widths = [F.lit(16 * len(df.columns))]
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            widths.append(F.coalesce(F.octet_length(name), F.lit(0)))
-        elif kind.startswith("array"):
-            widths.append(F.greatest(F.size(name), F.lit(0)) * 8)
-    return sum(widths[1:], widths[0]).cast("long")
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        if _varies(field.dataType):
+            total = total + _width(F.col(f"`{field.name}`"), field.dataType)
+    return total
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -29,20 +56,25 @@ def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit
     """Look ``key`` up in a stored table with one row per key.
 
     A table within ``limit`` is broadcast. A larger one is joined by a shuffle
-    in which the most frequent keys of the left side are salted: their rows
-    spread over many tasks, and only those few table rows are repeated.
+    in which the hot keys of the left side are salted: those with more rows than
+    a partition's even share, each with as many salts as it fills shares. There
+    are fewer of them than partitions, which bounds the list of hot keys.
     """
     if fits_broadcast(table, limit):
         return left.join(F.broadcast(table), key, how)
-    counted = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r[key] for r in counted.orderBy(F.desc("_n")).limit(HOT_KEYS).collect()]
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(1.0), F.col("_all") / parts)
+    sized = with_scalars(counted, F.sum("_n").alias("_all")).filter(F.col(key).isNotNull() & (F.col("_n") > share))
+    found = sized.select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")).collect()
+    hot = spark.createDataFrame(found, StructType([left.schema[key], StructField("_salts", IntegerType())]))
     # Rows without a key match nothing, but they too must not meet on one task.
-    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = table.withColumn("_salt", F.explode(copies))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    salts = F.when(F.col(key).isNull(), parts).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
+    repeated = table.join(F.broadcast(hot), key, "left")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, *aggregates: Column, over: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -23,20 +23,24 @@ def train_weighted(
     features: str = "features",
     target: str = "target",
     weight: str | None = None,
-    classes: int = 2,
+    class_weights: DataFrame | None = None,
     **options,
 ) -> LogisticRegressionModel:
-    """Fit on class weight times sample weight."""
-    weighted = with_class_weight(df, target, classes)
+    """Fit on class weight times sample weight.
+
+    ``class_weights`` is a table of ``evaluate.class_weights``; without one the
+    weights come from ``df`` itself. Sample weights must not be negative.
+    """
+    weighted = with_class_weight(df, target, weights=class_weights)
     total = F.col("class_weight") if weight is None else F.col("class_weight") * F.col(weight)
     rows = weighted.select(features, F.col(target).cast("double").alias("_label"), total.alias("_weight"))
     return LogisticRegression(featuresCol=features, labelCol="_label", weightCol="_weight", **options).fit(rows)
 
 
-def score(df: DataFrame, model, row_id: str = "idx") -> DataFrame:
-    """Probability of class 1 keyed by id."""
+def score(df: DataFrame, model, row_id: str = "idx", keep: Sequence[str] = ()) -> DataFrame:
+    """Probability of class 1 keyed by id, with the columns ``keep`` of the scored rows."""
     probability = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(df).select(row_id, probability.alias("y_pred"))
+    return model.transform(df).select(row_id, *keep, probability.alias("y_pred"))
 
 
 def score_in_batches(
@@ -72,12 +76,11 @@ def select_model(
 
     with ThreadPool(min(parallelism, len(grid))) as pool:
         models = pool.map(inheritable_thread_target(train.sparkSession)(fit), grid)
-    truth = valid.select(row_id, target)
     rated = None
     for number, model in enumerate(models):
-        scored = score(valid, model, row_id).withColumn("candidate", F.lit(number))
+        scored = score(valid, model, row_id, [target]).withColumn("candidate", F.lit(number))
         rated = scored if rated is None else rated.unionByName(scored)
-    rates = average_precision(rated.join(truth, row_id), ["candidate"], target).collect()
+    rates = average_precision(rated, ["candidate"], target).collect()
     by_number = sorted((r["candidate"], r["average_precision"]) for r in rates)
     best = max(by_number, key=lambda r: (r[1], -r[0]))
     return models[best[0]], by_number

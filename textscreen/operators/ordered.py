@@ -16,6 +16,7 @@ one bucket's share of the rows, whatever the skew.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -27,7 +28,6 @@ from ..functions.hashing import order_hash
 BUCKET = "_bucket"
 _GROUP = "_group"
 HASH = "_order_hash"
-HASH_DIGITS = 3
 _MERGERS = 256
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max}
@@ -35,7 +35,7 @@ _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max}
 
 def default_parts(spark: SparkSession) -> int:
     """Buckets per order: a few per shuffle partition, so they follow the job's size."""
-    return max(8, min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @dataclass(frozen=True)
@@ -117,19 +117,28 @@ def _bucketize(df: DataFrame, column: Column, cuts: list, out: str) -> DataFrame
 def with_cuts(df: DataFrame, cuts: Cuts) -> DataFrame:
     """Add a bucket that agrees with ascending (key, tie), nulls first."""
     key = F.col(cuts.key)
-    hot = {float(c): c for c in cuts.key_cuts if cuts.key_cuts.count(c) > 1}
+    filled = Counter(cuts.key_cuts)
+    hot = {float(c): c for c, n in filled.items() if n > 1}
     df = _bucketize(df, key, cuts.key_cuts, BUCKET)
     position, alone = F.col(BUCKET).cast("long") * 3, key.isNull()
     if hot:
         # A frequent value stands between what is below and above it.
-        by_bucket = [None, *(hot.get(c) for c in sorted({float(c) for c in cuts.key_cuts}))]
+        by_bucket = [None, *(hot.get(c) for c in sorted({float(c) for c in filled}))]
         here = F.get(F.array(*[F.lit(c) for c in by_bucket]), F.col(BUCKET))
         above = (key >= here).cast("long") + (key > here).cast("long")
         position = position + F.coalesce(above, F.lit(0))
         alone = alone | (key == here)
     if cuts.tie and (hot or cuts.nulls):
         df = _bucketize(df, F.col(cuts.tie), cuts.tie_cuts, "_tie_bucket")
-        position = position * (cuts.parts + 2) + F.when(alone, F.col("_tie_bucket") + 1).otherwise(0)
+        # A value that holds n cuts gets about 2 n pieces, so all pieces together are about 2 x parts.
+        ties = len({float(c) for c in cuts.tie_cuts}) + 2
+        pieces = F.lit(ties)
+        if hot:
+            shares = [None if c is None else min(ties, 2 * filled[c]) for c in by_bucket]
+            own = F.get(F.array(*[F.lit(s).cast("int") for s in shares]), F.col(BUCKET))
+            pieces = F.when(key.isNull(), ties).otherwise(own)
+        piece = F.floor((F.col("_tie_bucket") + 1) * pieces / ties)
+        position = position * (cuts.parts + 2) + F.when(alone, piece).otherwise(0)
     return df.withColumn(BUCKET, position).drop("_tie_bucket")
 
 
@@ -139,8 +148,11 @@ def with_value_bucket(df: DataFrame, key: str, tie: str | None = None, parts: in
 
 def with_hash_bucket(df: DataFrame, seed: str | int, row_id: str) -> DataFrame:
     """Add the order hash of (seed, id) and its leading digits as the bucket."""
+    digits = 3
+    while 16**digits < default_parts(df.sparkSession):
+        digits += 1
     hashed = df.withColumn(HASH, order_hash(seed, row_id))
-    return hashed.withColumn(BUCKET, F.substring(HASH, 1, HASH_DIGITS))
+    return hashed.withColumn(BUCKET, F.substring(HASH, 1, digits))
 
 
 def _prior(df: DataFrame, buckets: list[str], aggregates: dict, by: list[str], totals: bool) -> DataFrame:

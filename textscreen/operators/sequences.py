@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence, text
+from ..session import materialise
 from .joins import BROADCAST_BYTES, lookup
 
 MATRIX_CELLS = 4_000_000
@@ -36,11 +37,12 @@ def dense_sequences(
 ) -> DataFrame:
     """Gather each example's vectors into ``x`` of exactly ``length`` by ``features``, zero filled.
 
-    Tokens were cut to ``length`` before, so a group is bounded. ``truncate``
-    keeps the first ``features`` values of longer vectors.
+    Only the first ``length`` positions are gathered, so a group is bounded.
+    ``truncate`` keeps the first ``features`` values of longer vectors.
     """
     vec = text.truncate(F.col("vec"), features) if truncate else F.col("vec")
-    gathered = embedded.groupBy(row_id).agg(F.collect_list(F.struct("t", vec.alias("vec"))).alias("_rows"))
+    within = embedded.filter(F.col("t").isNull() | (F.col("t") < length))
+    gathered = within.groupBy(row_id).agg(F.collect_list(F.struct("t", vec.alias("vec"))).alias("_rows"))
     rows = F.array_sort(F.filter("_rows", lambda r: r["t"].isNotNull()))
     zeros = F.array_repeat(F.lit(0.0), features)
     x = F.transform(rows, lambda r: F.coalesce(r["vec"].cast("array<double>"), zeros))
@@ -50,8 +52,12 @@ def dense_sequences(
 def featurize(
     df: DataFrame, vocab: DataFrame, length: int, features: int, tokeniser: str = "code", row_id: str = "idx"
 ) -> DataFrame:
-    """Text to dense sequences: tokenise, cut, look up, gather, pad; empty texts become all zeros."""
+    """Text to dense sequences: tokenise, cut, look up, gather, pad; empty texts become all zeros.
+
+    Vectors are cut to ``features`` before the table is measured and sent.
+    """
     tokens = truncated_tokens(df, length, tokeniser)
+    vocab = vocab.withColumn("vec", text.truncate(F.col("vec"), features))
     return dense_sequences(embed_tokens(tokens, vocab, row_id), length, features, row_id)
 
 
@@ -64,11 +70,12 @@ def to_long(df: DataFrame, x: str = "x", row_id: str = "id") -> DataFrame:
 def linear(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str = "vector", out: str = "y") -> DataFrame:
     """Apply ``y = W·x + b`` with ``weights(o, f, w)`` and ``bias(o, b)`` held in tables.
 
-    A layer has a fixed size, which is checked; it travels as one broadcast row
-    and every vector is mapped where it is.
+    A layer of up to ``MATRIX_CELLS`` weights travels as one broadcast row and
+    every vector is mapped where it is. A larger one is joined value by value and
+    summed, with the same answer.
     """
     if weights.select(F.lit(1)).limit(MATRIX_CELLS + 1).count() > MATRIX_CELLS:
-        raise ValueError(f"a layer may have at most {MATRIX_CELLS} weights")
+        return _linear_by_join(df, weights, bias, vector, out)
     rows = weights.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("_cells"))
     rows = rows.join(bias, "o").select("o", F.transform("_cells", lambda c: c["w"]).alias("_w"), "b")
     layer = rows.agg(F.array_sort(F.collect_list(F.struct("o", "_w", "b"))).alias("_layer"))
@@ -76,3 +83,14 @@ def linear(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str = "ve
     biases = F.transform("_layer", lambda r: r["b"])
     applied = df.crossJoin(F.broadcast(layer.select(matrix.alias("_matrix"), biases.alias("_bias"))))
     return applied.withColumn(out, sequence.affine(F.col(vector), F.col("_matrix"), F.col("_bias"))).drop("_matrix", "_bias")
+
+
+def _linear_by_join(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str, out: str) -> DataFrame:
+    """The layer as join and sum. Sums are taken per row and output, so no task holds a column of weights' rows."""
+    marked = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    cells = marked.select("_row", F.posexplode(vector).alias("f", "_v"))
+    sums = cells.join(weights, "f").groupBy("_row", "o").agg(F.sum(F.col("w") * F.col("_v")).alias("_sum"), F.count("_v").alias("_n"), F.count(F.lit(1)).alias("_all"))
+    whole = F.when(F.col("_n") == F.col("_all"), F.col("_sum") + F.col("b"))
+    outputs = sums.join(bias, "o").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("o", whole.alias("y")))).alias("_y"))
+    applied = marked.join(outputs, "_row", "left").withColumn(out, F.transform("_y", lambda r: r["y"]))
+    return applied.drop("_row", "_y")

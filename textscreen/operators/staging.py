@@ -6,11 +6,13 @@ Every recipe needs a row order for ``idx``; ``key`` and ``tie`` name it, or
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .ordered import assign_idx, assign_idx_by_file, shuffle_rank
-from .rewrite import any_flag, canonical, decode_utf8, drop_columns, normalize_columns, unpivot_pairs, with_default
+from .rewrite import any_flag, decode_utf8, drop_columns, normalize_columns, unpivot_pairs, with_default
 from .split import stratified_split
 
 # Columns of the change-pair CSV that are not wanted.
@@ -58,14 +60,41 @@ def pair_variants(pairs: DataFrame) -> DataFrame:
     return unpivot_pairs(pairs, (F.col("kind") == "vuln").cast("int"))
 
 
-def stage_stratified(raw: DataFrame, seed: int = 42) -> DataFrame:
-    """``(idx, func, target)`` to exact 80/10/10 parts.
-
-    ``idx`` becomes the shuffled position inside the part; ``source_idx`` keeps
-    the number the row came with. Ranks are worked out on the narrow columns, so
-    the texts are shuffled once, by the join at the end.
+def stage_stratified(
+    raw: DataFrame,
+    seed: int = 42,
+    row_id: str | None = None,
+    key: str | None = None,
+    tie: str | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``func`` and ``target`` to exact 80/10/10 parts: every row once, whatever its other columns hold.
+
+    ``source_idx`` is the number a row is shuffled by: its position in the order
+    (``key``, ``tie``), or in file order for a ``file_order`` table, or else the
+    number in ``row_id`` (``idx`` where there is such a column), or else a number
+    given when the rows were first read. Rows with null or repeated numbers stay,
+    but the order among equal ones is open and they share a task, so give tables
+    with many of them a ``key``. ``idx`` is the shuffled position inside the part.
+    ``keep`` names further columns to carry along, such as all others for the
+    unsplit output.
+
+    The rows are written once with a number of their own. Ranks are worked out on
+    the narrow columns, so the texts are shuffled once, by the join at the end.
     """
-    rows = canonical(raw, "func", "target", "idx")
-    parts = materialise(stratified_split(rows.select("idx", "target"), seed).drop("target"), "parts")
-    numbered = shuffle_rank(parts.withColumnRenamed("idx", "source_idx"), seed, "source_idx", ["split"], name="idx")
-    return rows.withColumnRenamed("idx", "source_idx").join(numbered, "source_idx")
+    marked = materialise(raw.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    if row_id is None and not key and "_seq" not in raw.columns and "idx" in raw.columns:
+        row_id = "idx"
+    if row_id:
+        narrow = marked.select("_row", "target", F.col(row_id).alias("source_idx"))
+    elif key or "_seq" in raw.columns:
+        order = [c for c in dict.fromkeys((key, tie)) if c] if key else ["_file", "_block", "_seq"]
+        narrow = marked.select("_row", "target", *[F.col(c).alias(f"_by_{c}") if key else F.col(c) for c in order])
+        numbered = _number(narrow, f"_by_{key}" if key else None, f"_by_{tie}" if tie else None, None)
+        narrow = numbered.select("_row", "target", F.col("idx").alias("source_idx"))
+    else:
+        narrow = marked.select("_row", "target", F.col("_row").alias("source_idx"))
+    parts = materialise(stratified_split(narrow, seed, row_id="source_idx").drop("target"), "parts")
+    numbered = shuffle_rank(parts, seed, "source_idx", ["split"], name="idx")
+    kept = [F.col(c) for c in dict.fromkeys(("func", "target", *keep))]
+    return marked.select("_row", *kept).join(numbered, "_row").drop("_row")

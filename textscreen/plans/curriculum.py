@@ -144,8 +144,7 @@ def _by_name_sql() -> str:
 @query(_by_name_sql(), "functions", "split_functions")
 def difficulty_by_name(spark, sf):
     rows = split_functions(spark, sf).select("idx", "func", "split")
-    weighted = [
-        curriculum.curriculum_weights(rows, kind).select(F.lit(kind).alias("kind"), "idx", F.round("weight", 9).alias("weight"))
-        for kind in ("length", "tokens", "cyclomatic", "random", "none")
-    ]
-    return reduce(DataFrame.unionByName, weighted)
+    kinds = ("length", "tokens", "cyclomatic", "random", "none")
+    weighted = curriculum.curriculum_columns(rows, {kind: kind for kind in kinds})
+    lines = F.array(*[F.struct(F.lit(kind).alias("kind"), "idx", F.round(kind, 9).alias("weight")) for kind in kinds])
+    return weighted.select(F.inline(lines))

@@ -37,6 +37,16 @@ def class_weight_join(spark, sf):
     return evaluate.with_class_weight(truth(spark, sf))
 
 
+@query(
+    """SELECT doc_id AS idx, class, count(*) OVER ()::double / count(*) OVER (PARTITION BY class) AS class_weight
+    FROM (SELECT doc_id, toxic + 2 * quality AS class FROM labels)""",
+)
+def class_weight_many(spark, sf):
+    """Four classes."""
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("idx"), (F.col("toxic") + 2 * F.col("quality")).alias("class"))
+    return evaluate.with_class_weight(rows, "class")
+
+
 @query("SELECT split, count(*) AS n, sum(target)::bigint AS positives FROM split_functions GROUP BY split", "functions", "split_functions")
 def split_counts(spark, sf):
     return evaluate.split_counts(split_functions(spark, sf))
@@ -116,9 +126,11 @@ _POOLED = """count(*) FILTER (target = 0 AND y_pred <= 0.5) AS tn, count(*) FILT
 )
 def micro_metrics(spark, sf):
     united = evaluate.union_truth(pair_preds(spark, sf))
-    per_dataset = evaluate.point_metrics(united, ["model", "dataset"])
-    pooled = evaluate.point_metrics(united, ["model"]).withColumn("dataset", F.lit("all"))
-    return per_dataset.unionByName(pooled)
+    counts = evaluate.confusion(united, ["model", "dataset"], predicted=score_functions.above(F.col("y_pred")))
+    # Each line of counts stands for its data set and for the pool.
+    lines = counts.withColumn("dataset", F.explode(F.array("dataset", F.lit("all"))))
+    summed = lines.groupBy("model", "dataset").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    return summed.select("model", "dataset", *[c.alias(n) for n, c in evaluate.ratios().items()])
 
 
 @query(
@@ -179,9 +191,10 @@ def error_cost(spark, sf):
 
 
 @query(
-    """SELECT name AS "check", expected, actual, expected = actual AS ok FROM (
-    SELECT count(*) FILTER (kind = 'vuln') AS v, count(*) FILTER (kind = 'safe') AS s FROM pair_preds),
-    (SELECT count(*) AS n, count(target) AS t, count(*) FILTER (target = 0) AS z, count(*) FILTER (target = 1) AS o FROM united),
+    """SELECT model, dataset, name AS "check", expected, actual, expected = actual AS ok FROM (
+    SELECT model, dataset, count(*) FILTER (kind = 'vuln') AS v, count(*) FILTER (kind = 'safe') AS s FROM pair_preds GROUP BY ALL)
+    JOIN (SELECT model, dataset, count(*) AS n, count(target) AS t, count(*) FILTER (target = 0) AS z, count(*) FILTER (target = 1) AS o
+        FROM united GROUP BY ALL) USING (model, dataset),
     LATERAL (VALUES ('predictions', s + 2 * v, n), ('truths', n, t), ('safe', s + v, z), ('vulnerable', v, o)) c(name, expected, actual)""",
     "functions",
     "pair_preds",
@@ -189,7 +202,7 @@ def error_cost(spark, sf):
 )
 def cardinality_checks(spark, sf):
     pairs = pair_preds(spark, sf)
-    return checks.cardinality_checks(pairs, evaluate.union_truth(pairs))
+    return checks.cardinality_checks(pairs, evaluate.union_truth(pairs), ["model", "dataset"])
 
 
 @query(

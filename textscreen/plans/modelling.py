@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import workflows
 from ..functions.hashing import uniform
 from ..operators import models
-from ..session import materialise
+from ..session import materialise, shared_dir
+from ..sources import writers
 from .fixtures import table, u
 from .registered import query
 
@@ -14,40 +16,103 @@ _VECTORS = 64
 
 
 def _examples(spark, sf):
-    """Embeddings with a rare positive class and a weight from the id."""
+    """Four groups with their own share of positives, as one-hot features, and a weight from the id.
+
+    Without a penalty the fit has a closed form: a group's probability is its
+    weighted share of positives.
+    """
+    group = (F.col("vec_id") % 4).cast("int")
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("idx"),
-        F.col("embedding").alias("vector"),
-        (F.col("label") < 3).cast("int").alias("target"),
+        F.transform(F.array(*[F.lit(g) for g in range(4)]), lambda g: (g == group).cast("double")).alias("vector"),
+        (uniform("label", "vec_id") < 0.2 + 0.15 * group).cast("int").alias("target"),
         (0.5 + uniform("weight", "vec_id") / 2).alias("weight"),
         (uniform("part", "vec_id") < 0.8).alias("training"),
     )
     return models.with_features(rows, "vector")
 
 
-@query()
+_FIT = {"fitIntercept": False, "maxIter": 200, "tol": 1e-12}
+_EXAMPLES_SQL = f"""SELECT vec_id AS idx, (vec_id % 4)::int AS g, ({u("'label'", 'vec_id')} < 0.2 + 0.15 * (vec_id % 4))::int AS target,
+    0.5 + {u("'weight'", 'vec_id')} / 2 AS weight, {u("'part'", 'vec_id')} < 0.8 AS training FROM embeddings"""
+
+
+def _shares_sql(where: str) -> str:
+    """The closed form: class weight times sample weight, positives over all, per group."""
+    return f"""SELECT g, sum(w * target) / sum(w) AS p FROM (
+        SELECT g, target, weight * count(*) OVER ()::double / count(*) OVER (PARTITION BY target) AS w
+        FROM ({_EXAMPLES_SQL}) WHERE {where}) GROUP BY g"""
+
+
+@query(f"SELECT g AS feature, round(ln(p / (1 - p)), 4) AS coefficient FROM ({_shares_sql('true')}) UNION ALL SELECT -1, 0.0")
 def train_weighted(spark, sf):
-    model = models.train_weighted(_examples(spark, sf), weight="weight", maxIter=20, regParam=0.01)
+    model = models.train_weighted(_examples(spark, sf), weight="weight", **_FIT)
     return spark.createDataFrame(
-        [(i, float(c)) for i, c in enumerate(model.coefficients)] + [(-1, float(model.intercept))], "feature int, coefficient double"
+        [(i, round(float(c), 4)) for i, c in enumerate(model.coefficients)] + [(-1, float(model.intercept))], "feature int, coefficient double"
     )
 
 
-@query()
+@query(f"SELECT idx, round(p, 5) AS y_pred FROM ({_EXAMPLES_SQL}) JOIN ({_shares_sql('training')}) USING (g)")
 def batch_score(spark, sf):
     rows = _examples(spark, sf)
-    model = models.train_weighted(rows.filter("training"), weight="weight", maxIter=20, regParam=0.01)
-    return models.score(rows, model)
+    model = models.train_weighted(rows.filter("training"), weight="weight", **_FIT)
+    return models.score(rows, model).withColumn("y_pred", F.round("y_pred", 5))
 
 
-@query()
+@query(
+    f"""WITH shares AS ({_shares_sql("training")}),
+    valid AS (SELECT idx, target, p FROM ({_EXAMPLES_SQL}) JOIN shares USING (g) WHERE NOT training),
+    steps AS (SELECT tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (
+        SELECT p, sum(target)::double AS tp, count(*)::double AS n FROM valid GROUP BY p) WINDOW w AS (ORDER BY p DESC))
+    SELECT idx, round(p, 5) AS y_pred, (SELECT round(sum(tp * ctp / cn) / sum(tp), 8) FROM steps) AS val_ap,
+        (SELECT round(avg(target), 8) FROM valid) AS flat_ap FROM valid"""
+)
 def select_model(spark, sf):
+    """A penalty so large that all scores are equal against none; the equal scores rate as the share of positives."""
     rows = materialise(_examples(spark, sf).select("idx", "vector", "target", "weight", "training"), "examples")
     rows = models.with_features(rows, "vector")
     train, valid = rows.filter("training"), rows.filter("NOT training")
-    grid = [{"regParam": r, "maxIter": 15} for r in (0.001, 0.01, 0.1)]
-    model, rates = models.select_model(train, valid, grid, weight="weight")
-    return models.score(valid, model).withColumn("val_ap", F.lit(max(rate for _, rate in rates)))
+    flat = {**_FIT, "regParam": 1e4, "elasticNetParam": 1.0}
+    model, rates = models.select_model(train, valid, [flat, _FIT], weight="weight")
+    rated = {f"{name}_ap": F.lit(round(rate, 8)) for name, (_, rate) in zip(("flat", "val"), rates)}
+    return models.score(valid, model).withColumn("y_pred", F.round("y_pred", 5)).withColumns(rated)
+
+
+_RUN_SQL = """WITH rows AS (SELECT idx, g, target, CASE WHEN part < 0.6 THEN 'train' WHEN part < 0.8 THEN 'valid' ELSE 'test' END AS split FROM (
+        SELECT vec_id AS idx, (vec_id % 4)::int AS g, (LABEL < 0.2 + 0.15 * (vec_id % 4))::int AS target, PART AS part FROM embeddings)),
+    weights AS (SELECT target, (SELECT count(*) FROM rows WHERE split = 'train')::double / count(*) AS cw FROM rows WHERE split = 'train' GROUP BY target),
+    shares AS (SELECT g, sum(cw * target) / sum(cw) AS p FROM rows JOIN weights USING (target) WHERE split = 'train' GROUP BY g),
+    scored AS (SELECT split, target, cw, p FROM rows JOIN shares USING (g) JOIN weights USING (target)),
+    steps AS (SELECT split, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (
+        SELECT split, p, sum(target)::double AS tp, count(*)::double AS n FROM scored GROUP BY ALL) WINDOW w AS (PARTITION BY split ORDER BY p DESC)),
+    found AS (
+        SELECT split, 'acc' AS metric, avg(((p > 0.5)::int = target)::int) AS value FROM scored GROUP BY split UNION ALL
+        SELECT split, 'f1', 2 * count(*) FILTER (p > 0.5 AND target = 1)::double
+            / (count(*) FILTER (p > 0.5) + count(*) FILTER (target = 1)) FROM scored GROUP BY split UNION ALL
+        SELECT split, 'loss', avg(-cw * ln(CASE target WHEN 1 THEN p ELSE 1 - p END)) FROM scored GROUP BY split UNION ALL
+        SELECT split, 'ap', sum(tp * ctp / cn) / sum(tp) FROM steps GROUP BY split)
+    SELECT epoch, split, metric, round(value, 5) AS value FROM (
+        SELECT unnest([0, 1])::bigint AS epoch, * FROM (SELECT split, metric, value FROM found UNION ALL SELECT split, 'max_' || metric, value FROM found) WHERE split <> 'test'
+        UNION ALL SELECT 0, split, metric, value FROM found WHERE split = 'test')"""
+
+
+@query(_RUN_SQL.replace("LABEL", u("'label'", "vec_id")).replace("PART ", u("'part'", "vec_id") + " "))
+def train_run(spark, sf):
+    """A whole run on texts of one word each, whose vectors are one-hot: every metric has a closed form."""
+    group = (F.col("vec_id") % 4).cast("int")
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("idx"),
+        F.concat(F.lit("g"), group).alias("func"),
+        (uniform("label", "vec_id") < 0.2 + 0.15 * group).cast("int").alias("target"),
+        uniform("part", "vec_id").alias("part"),
+    )
+    hot = F.transform(F.array(*[F.lit(g) for g in range(4)]), lambda g: (g == group).cast("float"))
+    vocab = table(spark, sf, "embeddings").select(F.concat(F.lit("g"), group).alias("token"), hot.alias("vec")).distinct()
+    parts = {"train": "part < 0.6", "valid": "part >= 0.6 AND part < 0.8", "test": "part >= 0.8"}
+    splits = {name: rows.filter(where).drop("part") for name, where in parts.items()}
+    done = workflows.train_and_test(splits, materialise(vocab, "vocab"), "m_run", shared_dir(spark, "run"), epochs=2, length=1, features=4, **_FIT)
+    metrics = writers.read_metrics(spark, done["metrics"])
+    return metrics.select(F.col("epoch").cast("long").alias("epoch"), "split", "metric", F.round("value", 5).alias("value"))
 
 
 @query(

@@ -100,9 +100,11 @@ def filter_not_null(spark, sf):
     return attached.filter(F.col("quality").isNotNull()).select("doc_id", "quality")
 
 
-@query("SELECT model, idx, (y_pred > 0.5)::int AS predicted FROM preds", "preds")
+@query("SELECT model, idx, (y_pred > 0.5 AND idx % 11 <> 0)::int AS predicted FROM preds", "preds")
 def threshold(spark, sf):
-    return preds(spark, sf).select("model", "idx", score_functions.above(F.col("y_pred")).alias("predicted"))
+    """Every eleventh score is not a number and so not above."""
+    given = F.when(F.col("idx") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("y_pred"))
+    return preds(spark, sf).select("model", "idx", score_functions.above(given).alias("predicted"))
 
 
 @query("SELECT idx, (s1 > s0)::int AS predicted FROM scores", "scores")
@@ -266,4 +268,19 @@ def stage_pairs(spark, sf):
     "functions",
 )
 def stage_stratified(spark, sf):
-    return staging.stage_stratified(functions(spark, sf))
+    return staging.stage_stratified(functions(spark, sf), row_id="idx")
+
+
+@query(
+    """SELECT source_idx, raw_id, func, target, split,
+    row_number() OVER (PARTITION BY split ORDER BY md5(concat('42-', source_idx)), source_idx) - 1 AS idx FROM (
+    SELECT *, CASE WHEN 10 * r < 8 * n THEN 'train' WHEN 10 * r < 9 * n THEN 'test' ELSE 'valid' END AS split FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat('42-', source_idx)), source_idx) - 1 AS r,
+        count(*) OVER (PARTITION BY target) AS n FROM (
+    SELECT row_number() OVER (ORDER BY length(func), idx) - 1 AS source_idx, nullif(idx % 7, 0) AS raw_id, func, target FROM functions)))""",
+    "functions",
+)
+def stage_stratified_repeats(spark, sf):
+    """Rows whose own ids are null or repeated, numbered by length and position instead."""
+    rows = functions(spark, sf).withColumns({"raw_id": F.nullif(F.col("idx") % 7, F.lit(0)), "n": F.length("func")})
+    return staging.stage_stratified(rows.withColumnRenamed("idx", "position"), key="n", tie="position", keep=["raw_id"])

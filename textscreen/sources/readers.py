@@ -11,6 +11,7 @@ CANONICAL = StructType(
 PREDICTIONS = StructType([StructField("idx", LongType()), StructField("y_pred", DoubleType())])
 PAIR_PREDICTIONS = StructType([StructField("before", DoubleType()), StructField("after", DoubleType())])
 
+SPREAD_BYTES = 1 << 30
 SPLIT_IN_NAME = r"([^_/=]+?)(?:[.][A-Za-z0-9]+)*(?:/part-[^/]*)?$"
 MODEL_AND_FILE = r"(?:^|/)(?:model=)?([^/=]+)/(?:file=)?([^/=]+?)(?:[.]csv)?(?:/part-[^/]*)?$"
 RUN_NAME = r"(?:^|/)([^/]+)_([^_/]+)_on_([^/]+)[.]txt(?:/part-[^/]*)?$"
@@ -47,11 +48,11 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """Use every core for heavy work per row on a scan of only a few row groups.
 
     A scan is cut at row groups at best, so a small file may end up on one task.
-    A scan with at least as many splits as there are cores is left as it is: no
-    large table is ever shuffled for this. ``scan`` is a plain file scan.
+    Files of more than ``SPREAD_BYTES`` together are left as they are: no large
+    table is ever shuffled for this. ``scan`` is a plain file scan.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else scan
 
 
 def split_from_path(path: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import sequence
 from .functions.scores import above, sample_weight
 from .operators import checks, evaluate, models
-from .operators.curriculum import curriculum_weights, epoch_rows, rank_for_epochs
+from .operators.curriculum import curriculum_weights, epoch_rows, epoch_size, rank_for_epochs
 from .operators.joins import join_truth
 from .operators.rewrite import unpivot_pairs
 from .operators.runs import top_checkpoints
@@ -31,7 +31,7 @@ def pooled_features(
 
 def epoch_metrics(rows: DataFrame, model, target: str = "target", row_id: str = "idx") -> dict[str, float]:
     """Accuracy, average precision, F1 and weighted loss of a model on rows with ``class_weight`` and ``weight``."""
-    scored = rows.drop("features").join(models.score(rows, model, row_id), row_id)
+    scored = models.score(rows, model, row_id, [target, "class_weight", "weight"])
     points = evaluate.point_metrics(scored, truth=target).first()
     precision = evaluate.average_precision(scored, truth=target).first()
     # The log of the odds and zero are class scores with the same softmax.
@@ -52,43 +52,65 @@ def train_and_test(
     keep: int = 2,
     **options,
 ) -> dict:
-    """Fit once per epoch on the rows its curriculum allows, keep the best by validation AP, score the test split.
+    """Fit on the rows each epoch's curriculum allows, keep the best by validation AP, score the test split.
 
-    ``splits`` holds canonical ``train``, ``valid`` and ``test`` tables. Below
-    ``out`` go the metrics of every epoch, the kept models and the test
-    predictions as text lines.
+    ``splits`` holds canonical ``train``, ``valid`` and ``test`` tables. One class
+    weight per class, from the whole training split, serves every epoch and split.
+    Epochs with the same rows share one fit. Below ``out`` go the parameters, the
+    metrics of every epoch with their best so far (``max_`` and the name), the
+    test metrics of the best epoch, the kept models and the test predictions as
+    text lines.
+
+    A strength above 1 would make sample weights negative, which no fit accepts;
+    it is an error unless the curriculum has no difficulty.
     """
     curriculum = curriculum or {"type": "none", "weight": 1, "schedule": "none"}
+    if curriculum["weight"] > 1 and curriculum["type"] != "none":
+        raise ValueError(f"a curriculum weight of {curriculum['weight']} gives negative sample weights: use at most 1")
+    spark, metrics_path = vocab.sparkSession, f"{out}/run_metrics"
+    settings = {**{f"curriculum.{k}": v for k, v in curriculum.items()}, "epochs": epochs, "length": length, "features": features, **options}
+    parameters = writers.log_parameters(spark, run, settings, f"{out}/run_parameters")
+    class_weights = materialise(evaluate.class_weights(splits["train"].filter("target IS NOT NULL")), f"{run}-classes")
     tables = {}
     for split, rows in splits.items():
         rows = rows.withColumn("split", F.lit(split))
         weighted = curriculum_weights(rows, curriculum["type"]).select("idx", "target", F.col("weight").alias("difficulty"))
         weighted = weighted.withColumn("weight", sample_weight(F.col("difficulty"), curriculum["weight"]))
-        joined = evaluate.with_class_weight(weighted).join(pooled_features(rows, vocab, length, features), "idx")
+        joined = evaluate.with_class_weight(weighted, weights=class_weights).join(pooled_features(rows, vocab, length, features), "idx")
         if split == "train":
             joined = rank_for_epochs(joined, "difficulty")
         # Every epoch reads these again, so they are computed once.
         tables[split] = materialise(joined, f"{run}-{split}")
 
-    fitted, spark = [], vocab.sparkSession
-    metrics_path = f"{out}/run_metrics"
+    def log(epoch: int, split: str, values: dict[str, float]) -> None:
+        rows = [(run, epoch, split, name, float(value)) for name, value in values.items()]
+        writers.append_metrics(spark.createDataFrame(rows, writers.METRICS), metrics_path)
+
+    total = tables["train"].count()
+    # Per number of rows the model and its metrics; the rows of equal numbers are equal.
+    by_size, fitted, best_yet = {}, [], {}
     for epoch in range(epochs):
-        subset = epoch_rows(tables["train"], curriculum, epoch)
-        fitted.append(models.train_weighted(subset, weight="weight", **options))
-        found = [
-            (run, epoch, split, name, float(value))
-            for split in ("train", "valid")
-            for name, value in epoch_metrics(tables[split], fitted[-1]).items()
-        ]
-        writers.append_metrics(spark.createDataFrame(found, writers.METRICS), metrics_path)
+        size = epoch_size(curriculum, epoch, total)
+        if size not in by_size:
+            subset = epoch_rows(tables["train"], curriculum, epoch)
+            model = models.train_weighted(subset, weight="weight", class_weights=class_weights, **options)
+            by_size[size] = model, {split: epoch_metrics(tables[split], model) for split in ("train", "valid")}
+        model, found = by_size[size]
+        fitted.append(model)
+        for split, values in found.items():
+            log(epoch, split, values)
+            # Like ``runs.running_best``, from the few numbers that are here already.
+            best_yet[split] = {name: max(0.0, value, best_yet.get(split, {}).get(name, 0.0)) for name, value in values.items()}
+            log(epoch, split, {f"max_{name}": value for name, value in best_yet[split].items()})
 
     rated = writers.read_metrics(spark, metrics_path).filter((F.col("run") == run) & (F.col("split") == "valid") & (F.col("metric") == "ap"))
     kept = top_checkpoints(rated.select("run", "epoch", F.col("value").alias("val_ap")), keep=keep).collect()
     for line in kept:
         fitted[line["epoch"]].write().overwrite().save(f"{out}/models/{run}/epoch={line['epoch']}")
     best = max(kept, key=lambda line: (line["val_ap"], -line["epoch"]))["epoch"]
+    log(best, "test", epoch_metrics(tables["test"], fitted[best]))
     predictions = writers.write_prediction_lines(models.score(tables["test"], fitted[best]), f"{out}/predictions/{run}.txt")
-    return {"best_epoch": best, "kept": sorted(line["epoch"] for line in kept), "metrics": metrics_path, "predictions": predictions}
+    return {"best_epoch": best, "kept": sorted(line["epoch"] for line in kept), "metrics": metrics_path, "parameters": parameters, "predictions": predictions}
 
 
 def score_rows(rows: DataFrame, vocab: DataFrame, model, length: int, features: int) -> DataFrame:
@@ -121,7 +143,7 @@ def pair_predictions(spark: SparkSession, root: str) -> DataFrame:
 def pair_leaderboard(pairs: DataFrame) -> DataFrame:
     """Leaderboard of pair predictions, pooled over data sets, after checking their sizes."""
     united = evaluate.union_truth(pairs)
-    checks.require(checks.cardinality_checks(pairs, united))
+    checks.require(checks.cardinality_checks(pairs, united, [c for c in ("model", "dataset") if c in pairs.columns]))
     return evaluate.leaderboard(united)
 
 
