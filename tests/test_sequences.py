@@ -86,19 +86,24 @@ def test_linear(spark):
     np.testing.assert_allclose([r["y"] for r in got], x @ w.T + b)
 
 
-def test_large_layer_gives_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [1, 2, 3, 4, 64])
+def test_tiles_give_the_same(spark, tile):
     rng = np.random.default_rng(5)
-    w, x = rng.normal(size=(3, 4)), rng.normal(size=(30, 4))
-    weights = spark.createDataFrame([(o, f, float(w[o, f])) for o in range(3) for f in range(4)], "o int, f int, w double")
-    bias = spark.createDataFrame([(o, float(o)) for o in range(3)], "o int, b double")
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(30, None)], "id int, vector array<double>")
-    small = sequences.linear(df, weights, bias).orderBy("id").collect()
-    monkeypatch.setattr(sequences, "MATRIX_CELLS", 3)
-    large = sequences.linear(df, weights, bias)
-    assert large.columns == ["id", "vector", "y"]
-    large = large.orderBy("id").collect()
-    assert small[30]["y"] is None and large[30]["y"] is None
-    np.testing.assert_allclose([r["y"] for r in large[:30]], [r["y"] for r in small[:30]])
+    w, x = rng.normal(size=(5, 7)), rng.normal(size=(30, 7))
+    w[1, 2] = w[4, 0] = 0
+    weights = spark.createDataFrame([(o, f, float(w[o, f])) for o in range(5) for f in range(7) if w[o, f]], "o int, f int, w double")
+    bias = spark.createDataFrame([(o, float(o)) for o in range(5)], "o int, b double")
+    odd = [None, [], [1.0], [1.0] * 8, [1.0] * 6 + [None]]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(30 + i, v) for i, v in enumerate(odd)] + [(30, None)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>")
+    small = sequences.linear(df, weights, bias)
+    large = sequences.linear(df, weights, bias, cells=3, tile=tile)
+    assert small.columns == large.columns == ["id", "vector", "y"]
+    small, large = small.orderBy("id").collect(), large.orderBy("id").collect()
+    assert len(small) == len(large) == 36
+    np.testing.assert_allclose([r["y"] for r in small[:30]], x @ w.T + np.arange(5))
+    np.testing.assert_allclose([r["y"] for r in large[:30]], x @ w.T + np.arange(5))
+    assert all(r["y"] is None for r in small[30:] + large[30:])
 
 
 def test_only_positions_within_the_length_are_gathered(spark):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import above, argmax, cross_entropy
-from .joins import with_scalars
+from ..session import materialise
+from .joins import lookup, with_scalars
 from .ordered import running, value_cuts, with_cuts
 
 
@@ -23,26 +24,20 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
     return with_scalars(counts, F.sum("n").alias("_all")).select(target, "n", (F.col("_all") / F.col("n")).alias("weight"))
 
 
-def with_class_weight(
-    df: DataFrame, target: str = "target", out: str = "class_weight", weights: DataFrame | None = None, most: int = 100_000
-) -> DataFrame:
+def with_class_weight(df: DataFrame, target: str = "target", out: str = "class_weight", weights: DataFrame | None = None) -> DataFrame:
     """Look up each row's class weight, for any number of classes.
 
-    ``weights`` is the ``class_weights`` table of the rows that set them, such as
-    the training split; by default they come from ``df``. A row without a class
-    gets no weight, nor does a class that ``weights`` lacks. The table has one
-    line per class, so it travels as one broadcast map instead of a join on a key
-    that may hold most of the rows; a column of more than ``most`` different
-    values is no class and is an error.
+    ``weights`` is the stored ``class_weights`` table of the rows that set them,
+    such as the training split; by default they come from ``df``. A row without a
+    class gets no weight, nor does a class that ``weights`` lacks. One class may
+    hold most of the rows: the table is broadcast within a size that is measured,
+    and beyond it the frequent classes are salted.
     """
     if weights is None:
-        weights = class_weights(df.filter(F.col(target).isNotNull()), target)
-    known = weights.filter(F.col(target).isNotNull())
-    entries = F.collect_list(F.struct(F.col(target).cast("long").alias("class"), F.col("weight").alias("weight")))
-    checked = F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"{target} has more than {most} classes")).cast("boolean"))
-    one_row = known.agg(F.when(checked.isNull(), F.map_from_entries(entries)).alias("_weights"))
-    attached = df.crossJoin(F.broadcast(one_row))
-    return attached.withColumn(out, F.try_element_at("_weights", F.col(target).cast("long"))).drop("_weights")
+        weights = materialise(class_weights(df.filter(F.col(target).isNotNull()), target), "class_weights")
+    known = weights.filter(F.col(target).isNotNull()).select(target, F.col("weight").alias(out))
+    rows = df.drop(out)
+    return lookup(rows, known, target).select(*[F.col(f"`{c}`") for c in rows.columns], out)
 
 
 def split_counts(df: DataFrame, split: str = "split", target: str = "target") -> DataFrame:

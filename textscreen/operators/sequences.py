@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence, text
 from ..session import materialise
 from .joins import BROADCAST_BYTES, lookup
+from .ordered import assign_idx
 
-MATRIX_CELLS = 4_000_000
+MATRIX_CELLS = 4_000_000  # weights that are broadcast at most, 32 MB
+TILE = 256
 
 
 def each_position(df: DataFrame, array: Column | str, names: tuple[str, str], *keep: str) -> DataFrame:
@@ -67,30 +71,67 @@ def to_long(df: DataFrame, x: str = "x", row_id: str = "id") -> DataFrame:
     return each_position(rows, "_row", ("f", "v"), row_id, "t").filter(F.col("f").isNotNull())
 
 
-def linear(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str = "vector", out: str = "y") -> DataFrame:
+def linear(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str = "vector", out: str = "y", cells: int | None = None, tile: int = TILE) -> DataFrame:
     """Apply ``y = W·x + b`` with ``weights(o, f, w)`` and ``bias(o, b)`` held in tables.
 
-    A layer of up to ``MATRIX_CELLS`` weights travels as one broadcast row and
-    every vector is mapped where it is. A larger one is joined value by value and
-    summed, with the same answer.
+    The layer has the features 0 to the largest ``f`` and one output per row of
+    ``bias``, in the order of ``o``; a cell that ``weights`` lacks is 0. ``y`` is
+    null unless the vector has one value per feature, none of them null.
+
+    A layer of up to ``cells`` weights, ``MATRIX_CELLS`` by default, travels as one
+    broadcast row and every vector is mapped where it is. A larger one is cut into
+    tiles of ``tile`` by ``tile`` weights, with the same meaning.
     """
-    if weights.select(F.lit(1)).limit(MATRIX_CELLS + 1).count() > MATRIX_CELLS:
-        return _linear_by_join(df, weights, bias, vector, out)
-    rows = weights.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("_cells"))
-    rows = rows.join(bias, "o").select("o", F.transform("_cells", lambda c: c["w"]).alias("_w"), "b")
+    features, outputs = weights.agg(F.coalesce(F.max("f") + 1, F.lit(0))).first()[0], bias.count()
+    whole = F.col(vector).isNotNull() & (F.size(vector) == features) & ~F.exists(vector, lambda v: v.isNull())
+    if features * outputs > (MATRIX_CELLS if cells is None else cells):
+        return _linear_by_tiles(df, weights, bias, vector, out, whole, features, tile)
+    given = weights.groupBy("o").agg(F.map_from_entries(F.collect_list(F.struct("f", "w"))).alias("_cells"))
+    dense = F.transform(sequence.indices(F.lit(features)), lambda f: F.coalesce(F.try_element_at("_cells", f.cast(weights.schema["f"].dataType)), F.lit(0.0)))
+    rows = bias.join(given, "o", "left").select("o", dense.alias("_w"), "b")
     layer = rows.agg(F.array_sort(F.collect_list(F.struct("o", "_w", "b"))).alias("_layer"))
     matrix = F.transform("_layer", lambda r: r["_w"])
     biases = F.transform("_layer", lambda r: r["b"])
     applied = df.crossJoin(F.broadcast(layer.select(matrix.alias("_matrix"), biases.alias("_bias"))))
-    return applied.withColumn(out, sequence.affine(F.col(vector), F.col("_matrix"), F.col("_bias"))).drop("_matrix", "_bias")
+    return applied.withColumn(out, F.when(whole, sequence.affine(F.col(vector), F.col("_matrix"), F.col("_bias")))).drop("_matrix", "_bias")
 
 
-def _linear_by_join(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str, out: str) -> DataFrame:
-    """The layer as join and sum. Sums are taken per row and output, so no task holds a column of weights' rows."""
+def _linear_by_tiles(df: DataFrame, weights: DataFrame, bias: DataFrame, vector: str, out: str, whole: Column, features: int, tile: int) -> DataFrame:
+    """The layer as a tiled matrix product.
+
+    A vector is cut into slices of ``tile`` features. Each slice meets the tiles of
+    its features, which are repeated for as many shares of the rows as keep all
+    tasks busy, and gives one partial sum per output of the tile. A row therefore
+    sends ``features / tile`` values per output through the shuffle instead of
+    ``features``, and a task holds a tile and a slice, whatever the layer's size.
+    Partial sums are added in the order of the features.
+    """
+    strips = math.ceil(features / tile)
+    shares = max(1, math.ceil(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) / strips))
     marked = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "vectors")
-    cells = marked.select("_row", F.posexplode(vector).alias("f", "_v"))
-    sums = cells.join(weights, "f").groupBy("_row", "o").agg(F.sum(F.col("w") * F.col("_v")).alias("_sum"), F.count("_v").alias("_n"), F.count(F.lit(1)).alias("_all"))
-    whole = F.when(F.col("_n") == F.col("_all"), F.col("_sum") + F.col("b"))
-    outputs = sums.join(bias, "o").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("o", whole.alias("y")))).alias("_y"))
-    applied = marked.join(outputs, "_row", "left").withColumn(out, F.transform("_y", lambda r: r["y"]))
-    return applied.drop("_row", "_y")
+    numbered = assign_idx(bias.select(F.col("o").cast("long").alias("o"), "b"), "o", name="_at")
+    outputs = materialise(numbered.select("o", "b", F.expr(f"_at div {tile}").alias("_ot")), "outputs")
+
+    placed = weights.select(F.col("o").cast("long").alias("o"), F.expr(f"f div {tile}").cast("int").alias("_ft"), F.expr(f"f % {tile}").cast("int").alias("_f"), F.col("w").cast("double").alias("w"))
+    runs = placed.groupBy("o", "_ft").agg(F.map_from_entries(F.collect_list(F.struct("_f", "w"))).alias("_cells"))
+    every = outputs.select("o", "_ot", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("_ft"))
+    width = F.least(F.lit(tile), F.lit(features) - F.col("_ft") * tile).cast("int")
+    dense = F.transform(sequence.indices(width), lambda f: F.coalesce(F.try_element_at("_cells", f), F.lit(0.0)))
+    lines = every.join(runs, ["o", "_ft"], "left").select("_ot", "_ft", "o", dense.alias("_w"))
+    tiles = lines.groupBy("_ot", "_ft").agg(F.array_sort(F.collect_list(F.struct("o", "_w"))).alias("_tile"))
+    tiles = tiles.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    slices = marked.filter(whole).select("_row", F.col(vector).cast("array<double>").alias("_x"), F.pmod("_row", F.lit(shares)).cast("int").alias("_share"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("_ft"))
+    slices = slices.select("_row", "_share", "_ft", F.slice("_x", F.col("_ft") * tile + 1, F.lit(tile)).alias("_x"))
+    add = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
+    partial = F.transform("_tile", lambda r: F.aggregate(F.zip_with(r["_w"], F.col("_x"), lambda w, v: w * v), F.lit(0.0), lambda acc, p: acc + p))
+    sums = slices.join(tiles.hint("shuffle_hash"), ["_ft", "_share"]).select("_row", "_ot", F.struct("_ft", partial.alias("_p")).alias("_part"))
+    gathered = sums.groupBy("_row", "_ot").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    biases = outputs.groupBy("_ot").agg(F.array_sort(F.collect_list(F.struct("o", "b"))).alias("_b"))
+    parts = F.transform("_parts", lambda r: r["_p"])
+    total = F.aggregate(F.slice(parts, 2, F.lit(strips)), F.get(parts, F.lit(0)), add)
+    blocks = lookup(gathered.select("_row", "_ot", total.alias("_s")), materialise(biases, "biases"), "_ot", "inner")
+    blocks = blocks.select("_row", F.struct("_ot", add(F.col("_s"), F.transform("_b", lambda r: r["b"].cast("double"))).alias("_y")).alias("_block"))
+    whole_rows = blocks.groupBy("_row").agg(F.array_sort(F.collect_list("_block")).alias("_blocks"))
+    applied = marked.join(whole_rows, "_row", "left")
+    return applied.withColumn(out, F.flatten(F.transform("_blocks", lambda r: r["_y"]))).drop("_row", "_blocks")

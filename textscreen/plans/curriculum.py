@@ -10,8 +10,7 @@ from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import curriculum
 from ..session import materialise
-from ..sources.readers import spread
-from .fixtures import TOKEN_SQL, functions, split_functions, table, texts, truth, u
+from .fixtures import TOKEN_SQL, functions, split_functions, spread_table, table, texts, truth, u
 from .registered import query
 
 
@@ -31,7 +30,7 @@ _SOURCES_SQL = "SELECT 'text' AS kind, doc_id AS idx, text AS func FROM document
 def _sources(spark, sf) -> DataFrame:
     """Every text and every raw page, which has braces in its style block."""
     written = texts(spark, sf).select(F.lit("text").alias("kind"), F.col("doc_id").alias("idx"), F.col("text").alias("func"))
-    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("idx"), F.col("html").alias("func"))
+    pages = spread_table(spark, sf, "pages", "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("idx"), F.col("html").alias("func"))
     return written.unionByName(pages)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sequence, text
 from ..functions.hashing import uniform
-from ..sources.readers import spread
+from ..sources.readers import spread, stored_bytes
 
 MODELS = ["m0", "m1", "m2"]
 STEPS = FEATURES = 8
@@ -16,9 +16,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_sizes: dict[str, int] = {}
+
+
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table spread over all cores for work on its texts; its size is looked up once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _sizes:
+        _sizes[path] = stored_bytes(spark, path)
+    return spread(table(spark, sf, name), key, _sizes[path])
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over all cores for work on their text."""
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return spread_table(spark, sf, "documents", "doc_id")
 
 
 def functions(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,15 +44,21 @@ def read_tree(spark: SparkSession, root: str, schema: StructType = PREDICTIONS,
     return files.select("*", _file_path().alias("path"))
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at ``path``, from their listing; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def spread(scan: DataFrame, key: str, size: int) -> DataFrame:
     """Use every core for heavy work per row on a scan of only a few row groups.
 
     A scan is cut at row groups at best, so a small file may end up on one task.
-    Files of more than ``SPREAD_BYTES`` together are left as they are: no large
-    table is ever shuffled for this. ``scan`` is a plain file scan.
+    Files of more than ``SPREAD_BYTES`` together (``size`` is their sum) are left
+    as they are: no large table is ever shuffled for this.
     """
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else scan
+    parts = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scan.repartition(parts, key) if size <= SPREAD_BYTES else scan
 
 
 def split_from_path(path: Column) -> Column:
