@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, counts, extract, licences, lines, packing, pitman_yor, quality, simhash, vectors
+from . import bpe, counts, extract, infill, licences, lines, packing, pitman_yor, quality, simhash, sketches, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,41 @@ def op10_edit_aware_counts(spark, sf):
 @query()
 def op6_licence_scan(spark, sf):
     return licences.scan(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query()
+def op11_cholesky_whitening(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
+@query()
+def op12_bottom_k(spark, sf):
+    made = sketches.fingerprints(read(spark, sf, "documents", "doc_id", "text"))
+    own, changed, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.to_hex(own).alias("fingerprint"), sketches.to_hex(changed).alias("edited_fingerprint"),
+        sketches.resemblance(own, changed).alias("near_edited"), sketches.resemblance(own, following).alias("near_next"),
+        sketches.containment(own, changed).alias("kept_in_edited"), sketches.distinct_count(own).alias("distinct_shingles"),
+    )
+
+
+@query(
+    """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS d FROM documents),
+    h AS (SELECT doc_id, s, n, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS h1, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS h2,
+        ('0x' || substr(d, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(d, 25, 8))::BIGINT % 100 AS h4 FROM t),
+    c AS (SELECT doc_id, s, n, least(h1, h2) AS a, greatest(h1, h2) AS b,
+        CASE WHEN n = 0 OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, substring(s, 1, a) AS pre, substring(s, a + 1, b - a) AS mid, substring(s, b + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(s) AS restored_sha256 FROM p
+    """
+)
+def op13_counted_infill(spark, sf):
+    made = infill.transform(read(spark, sf, "documents", "doc_id", "text")).select("doc_id", "infill.*")
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
