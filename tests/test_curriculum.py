@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textscreen.functions import scores as score_functions, text
 from textscreen.functions.hashing import uniform
 from textscreen.operators import curriculum, split
+from textscreen.session import shared_dir
 
 SNIPPETS = [
     "int f(int a) { if (a && a > 2) return 1; /* if while */ return a ? 1 : 0; } // for",
@@ -128,3 +129,18 @@ def test_exact_stratified_split(spark, sizes):
     for target, n in sizes.items():
         train, test = math.ceil(0.8 * n), math.ceil(0.9 * n)
         assert [counts[target, s] for s in ("train", "test", "valid")] == [train, test - train, n - test]
+
+
+def test_epochs_read_only_their_files(spark):
+    rows = spark.createDataFrame([(i, float((i * 37) % 101)) for i in range(101)], "idx long, weight double")
+    path = curriculum.store_ranked(curriculum.rank_for_epochs(rows), shared_dir(spark, "stored"), 10)
+    config = {"schedule": "linear", "linear_steps": 1, "linear_split": 0.25}
+    for epoch, n in enumerate((25, 50, 75, 101, 101)):
+        got = curriculum.stored_epoch(spark, path, config, epoch)
+        assert sorted(r["weight"] for r in got.collect()) == [float(i) for i in range(n)]
+        assert sorted(got.columns) == ["idx", "position", "position_total", "weight"]
+    plan = curriculum.stored_epoch(spark, path, config, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "(part#" in plan
+    assert curriculum.stored_epoch(spark, path, {}, 0).count() == 101
+    empty = curriculum.store_ranked(curriculum.rank_for_epochs(rows.limit(0)), shared_dir(spark, "stored"), 10)
+    assert curriculum.stored_epoch(spark, empty, config, 0).count() == 0

@@ -3,11 +3,12 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textscreen.functions import scores as score_functions
-from textscreen.operators import checks, evaluate
+from textscreen.operators import checks, evaluate, precision, quantiles
 
 
 def scored(spark, rows):
@@ -92,7 +93,7 @@ def test_softmax_of_large_scores(spark):
 def test_exact_median_mean_and_deviation(spark):
     rng = random.Random(9)
     rows = [(rng.choice([0.5, rng.random()]), None if rng.random() < 0.1 else rng.gauss(0, 1)) for _ in range(1001)]
-    got = {r["name"]: r for r in evaluate.column_stats(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], parts=16).collect()}
+    got = {r["name"]: r for r in evaluate.column_stats(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
     for i, name in enumerate("ab"):
         values = [r[i] for r in rows if r[i] is not None]
         assert got[name]["median"] == statistics.median(values)
@@ -187,3 +188,50 @@ def test_checks_per_group_do_not_cancel(spark):
     assert checks.cardinality_checks(pairs, united, ["model"]).filter("NOT ok").count() == 6  # rows, zeros and ones, in a and in b
     with pytest.raises(ValueError, match="a predictions: expected 2, found 4"):
         checks.require(checks.cardinality_checks(pairs, united, ["model"]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 1001])
+def test_medians_without_order(spark, n):
+    rng = np.random.default_rng(n)
+    a = np.where(rng.uniform(size=n) < 0.5, rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n), rng.integers(-3, 3, n).astype(float))
+    b = np.full(n, -0.0)
+    b[: n // 3] = 0.0
+    c = np.array([1.0 + i * 2.0**-52 for i in range(n)])
+    rows = [(float(x), float(y), float(z), None, 1 if i else None) for i, (x, y, z) in enumerate(zip(a, b, c))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, `e.f` int").repartition(5)
+    got = {r["name"]: r for r in evaluate.column_stats(df, ["a", "b", "c", "d", "e.f"]).collect()}
+    assert set(got) == {"a", "b", "c", *(["e.f"] if n > 1 else [])}
+    for name, values in (("a", a), ("b", b), ("c", c)):
+        assert got[name]["median"] == np.median(values)
+        assert got[name]["mean"] == pytest.approx(values.mean(), rel=1e-9)
+        if n == 1:
+            assert got[name]["std"] is None
+        elif name != "a":
+            assert got[name]["std"] == pytest.approx(values.std(ddof=1), rel=1e-6, abs=1e-12)
+
+
+def test_bits_rise_with_the_value(spark):
+    values = [float("-inf"), -1e300, -1.5, -1e-310, 0.0, 1e-310, 1.0, 1.0 + 2**-52, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(4, -0.0)], "i int, v double").withColumn("b", quantiles.ordered_bits(F.col("v")))
+    rows = df.withColumn("back", quantiles.from_bits(F.col("b"))).orderBy("b", "i").collect()
+    assert [r["i"] for r in rows] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10]
+    assert all(r["back"] == r["v"] or r["i"] == 10 for r in rows)
+    assert evaluate.column_stats(df.limit(0), ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1, 7, 20_000])
+def test_average_precision_lies_within_its_bounds(spark, cells):
+    rng = np.random.default_rng(cells)
+    rows = [(g, float(np.round(rng.uniform(-0.1, 1.1), 2) if g else rng.uniform()), int(rng.uniform() < 0.3)) for g in (0, 1) for _ in range(800)]
+    rows += [(2, 0.3, 0), (3, float("nan"), 1), (3, 0.5, 0), (4, 0.9, 1), (4, 0.9, 1), (4, None, 1), (4, 0.2, None)]
+    df = spark.createDataFrame(rows, "g int, y_pred double, target int")
+    got = {r["g"]: r for r in precision.average_precision_bounds(precision.sketch(df, ["g"], cells=cells), ["g"]).collect()}
+    for r in evaluate.average_precision(df, ["g"]).collect():
+        found = got[r["g"]]
+        assert found["low"] - 1e-12 <= r["average_precision"] <= found["high"] + 1e-12
+        assert found["low"] <= found["average_precision"] <= found["high"]
+        if cells == 20_000 and r["g"] == 0:
+            assert found["high"] - found["low"] < 0.02
+    halves = [precision.sketch(df.filter(f"g % 2 = {i}"), cells=cells) for i in (0, 1)]
+    assert precision.average_precision_bounds(precision.merge(*halves)).collect() == precision.average_precision_bounds(precision.sketch(df, cells=cells)).collect()
+    assert precision.average_precision_bounds(precision.sketch(df.limit(0))).first()["high"] == 0

@@ -1,5 +1,7 @@
 """Files written and read back, catalogues and versions."""
 
+from multiprocessing.pool import ThreadPool
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def test_publish_reads_what_it_replaces(spark, tmp_path):
     for _ in range(2):
         current = readers.read_jsonl(spark, writers.current_path(spark, root))
         writers.publish(current.withColumn("target", F.col("target") + 1), root)
-    assert writers.current_path(spark, root).endswith("v=3")
+    assert "/v=3/" in writers.current_path(spark, root) and len(writers.versions(spark, root)) == 3
     got = readers.read_jsonl(spark, writers.current_path(spark, root))
     assert sorted(r["target"] for r in got.collect()) == [2, 2, 2, 3, 3]
 
@@ -83,10 +85,44 @@ def test_unfinished_version_is_not_current(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         writers.current_path(spark, root)
     writers.publish(rows(spark), root)
-    (tmp_path / "data" / "v=2").mkdir()
-    assert writers.current_path(spark, root).endswith("v=1")
+    # A version whose files are there, even all of them, but not its manifest.
+    rows(spark).write.json(str(tmp_path / "data" / "v=2" / "torn"))
+    assert "/v=1/" in writers.current_path(spark, root)
     writers.publish(rows(spark), root)
-    assert writers.current_path(spark, root).endswith("v=2")
+    assert "/v=2/" in writers.current_path(spark, root) and "torn" not in writers.current_path(spark, root)
+
+
+def test_two_writers_at_once_give_two_versions(spark, tmp_path):
+    root = str(tmp_path / "data")
+    with ThreadPool(4) as pool:
+        paths = pool.map(lambda i: writers.publish(spark.createDataFrame([(i, str(i), 0)] * (i + 1), readers.CANONICAL), root), range(4))
+    found = writers.versions(spark, root)
+    assert len(set(paths)) == 4 and sorted(m["path"] for m in found) == sorted(paths)
+    for i, path in enumerate(paths):
+        assert [r["func"] for r in readers.read_jsonl(spark, path).collect()] == [str(i)] * (i + 1)
+    assert writers.current_path(spark, root) == found[-1]["path"]
+
+
+def test_a_repeated_run_reads_back_once(spark, tmp_path):
+    path, hour = str(tmp_path / "metrics"), 3_600_000_000
+    line = lambda epoch, value: spark.createDataFrame([("r", epoch, "val", "ap", value), (None, epoch, None, "ap", value)], writers.METRICS)
+    for epoch in range(2):
+        writers.append_metrics(line(epoch, 0.1), path, "failed", at=hour)
+    for epoch in range(3):
+        writers.append_metrics(line(epoch, 0.2), path, "again", at=hour + 1 + epoch)
+    read = lambda: sorted((r["run"] or "", r["epoch"], r["value"]) for r in writers.read_metrics(spark, path).collect())
+    want = [(run, epoch, 0.2) for run in ("", "r") for epoch in range(3)]
+    assert read() == want and not writers.versions(spark, f"{path}/folded")
+    # Days later the log is folded; what is written late, or comes after, still counts.
+    writers.append_metrics(line(2, 0.5), path, "late", at=hour * 60)
+    folded = writers.versions(spark, f"{path}/folded")
+    assert [spark.read.parquet(m["path"]).count() for m in folded] == [6]
+    assert read() == [(run, epoch, 0.5 if epoch == 2 else 0.2) for run in ("", "r") for epoch in range(3)]
+    plan = writers.read_metrics(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slot" in plan
+    writers.append_metrics(line(0, 0.9), path, "late", at=hour * 120)
+    assert len(writers.versions(spark, f"{path}/folded")) == 2
+    assert read() == [(run, epoch, (0.9, 0.2, 0.5)[epoch]) for run in ("", "r") for epoch in range(3)]
 
 
 def test_metrics_are_appended(spark, tmp_path):
@@ -166,3 +202,38 @@ def test_shared_folder_follows_the_session(spark):
 
 def test_rewriting_keeps_other_columns(spark):
     assert rewrite.rewrite_text(rows(spark)).columns == ["idx", "func", "target", "status"]
+
+
+TRICKY = [
+    'plain', 'two\nlines', '"quoted"', 'comma, "x"\n\n\nfour lines "', '', None, ' blanks ', 'cr\r\nlf', '""', '"\n"', 'é 日本\n語', '\n', "'", '\\', 'back\\"slash',
+    'a very long value ' * 300 + '\n"end"\n' * 40,
+]
+
+
+@pytest.mark.parametrize("size", [64, 1000, 1 << 27])
+def test_split_csv_equals_whole_file(spark, size):
+    rows = [(i, TRICKY[i * 7 % len(TRICKY)], i % 3) for i in range(400)]
+    path = writers.write_csv(spark.createDataFrame(rows, readers.CANONICAL).coalesce(1), shared_dir(spark, "one_file"))
+    whole = sorted(map(repr, readers.read_csv(spark, path, readers.CANONICAL).collect()))
+    untyped = sorted(map(repr, readers.read_csv(spark, path).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        if size < 1 << 20:
+            assert spark.read.text(path).rdd.getNumPartitions() > 4
+        assert sorted(map(repr, readers.read_csv_split(spark, path, readers.CANONICAL).collect())) == whole
+        assert sorted(map(repr, readers.read_csv_split(spark, path).collect())) == untyped
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_csv_with_crlf_names_and_several_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes(f'CVE ID,Func `x\r\n{name}1,"x\r\ny ""q"""\r\n\r\n{name}2,\r\n{name}3,z'.encode())
+    (tmp_path / "c.csv").write_bytes(b"CVE ID,Func `x\n")
+    got = readers.read_csv_split(spark, str(tmp_path))
+    assert got.columns == ["CVE ID", "Func `x"]
+    want = [(f"{n}{i}", t) for n in "ab" for i, t in ((1, 'x\r\ny "q"'), (2, None), (3, "z"))]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text
+from ..functions import code, text
 from ..functions.hashing import uniform
 from ..functions.registry import Registry
 from .joins import with_scalars
@@ -17,6 +17,8 @@ DIFFICULTIES = Registry("difficulty")
 DIFFICULTIES.register("length", lambda func, row_id, seed: text.char_length(func))
 DIFFICULTIES.register("tokens", lambda func, row_id, seed: text.token_count(func))
 DIFFICULTIES.register("cyclomatic", lambda func, row_id, seed: text.complexity(func))
+DIFFICULTIES.register("tokens_per_function", lambda func, row_id, seed: code.mean_lexemes(func))
+DIFFICULTIES.register("cyclomatic_per_function", lambda func, row_id, seed: code.mean_complexity(func))
 DIFFICULTIES.register("random", lambda func, row_id, seed: uniform(seed, row_id))
 DIFFICULTIES.register("none", lambda func, row_id, seed: F.lit(1.0))
 
@@ -148,3 +150,36 @@ def rank_for_epochs(df: DataFrame, weight: str = "weight", row_id: str = "idx",
 def epoch_rows(ranked: DataFrame, config: dict, epoch: int) -> DataFrame:
     """The rows of one epoch from a ranked table."""
     return ranked.filter(F.col("position") < _epoch_count(config, epoch, F.col("position_total")))
+
+
+def store_ranked(ranked: DataFrame, path: str, rows_per_part: int = 1_000_000) -> str:
+    """Write a table of ``rank_for_epochs`` with its rows clustered by rank.
+
+    Part ``p`` holds the positions from ``p * rows_per_part`` on, and the folder names
+    are the index: an epoch finds its parts by their numbers, without opening any file.
+    """
+    parts = F.floor(F.col("position") / rows_per_part).cast("long")
+    sized = ranked.withColumns({"part": parts, "_rows_per_part": F.lit(rows_per_part).cast("long")})
+    if ranked.isEmpty():
+        # Partitioned writes leave nothing at all of an empty table.
+        sized.drop("part").write.parquet(f"{path}/part=0")
+    else:
+        sized.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def stored_epoch(spark: SparkSession, path: str, config: dict, epoch: int) -> DataFrame:
+    """The rows of one epoch of a ``store_ranked`` table.
+
+    Only the parts up to the one that holds the last row are read, and only that one
+    is filtered by position.
+    """
+    stored = spark.read.parquet(path)
+    columns = [c for c in stored.columns if c not in ("part", "_rows_per_part")]
+    size = stored.select("position_total", "_rows_per_part").first()
+    if size is None:
+        return stored.select(columns)
+    wanted = epoch_size(config, epoch, size["position_total"])
+    last = wanted // size["_rows_per_part"]
+    whole = stored.filter(F.col("part") < last)
+    return whole.unionByName(stored.filter((F.col("part") == last) & (F.col("position") < wanted))).select(columns)

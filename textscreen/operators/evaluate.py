@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import above, argmax, cross_entropy
 from ..session import materialise
+from . import quantiles
 from .joins import lookup, with_scalars
 from .ordered import running, value_cuts, with_cuts
 
@@ -102,37 +103,18 @@ def average_precision(
     return cumulative.groupBy(*by).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
 
 
-def _medians(long: DataFrame, parts: int | None) -> DataFrame:
-    """Exact median per name: count equal values, then find the middle by running counts."""
-    counted = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(
-        with_cuts(counted, value_cuts(long, "value", parts=parts)),
-        ["value"],
-        {"_upto": ("sum", F.col("_n"))},
-        ["name"],
-        totals=True,
-    )
-    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
-    low, high = F.expr("(_upto_total - 1) div 2"), F.expr("_upto_total div 2")
-    holds_low, holds_high = low.between(first, last), high.between(first, last)
-    return placed.groupBy("name").agg(
-        ((F.max(F.when(holds_low, F.col("value"))) + F.max(F.when(holds_high, F.col("value")))) / 2).alias("median")
-    )
-
-
-def column_stats(df: DataFrame, columns: list[str], exact: bool = True, parts: int | None = None) -> DataFrame:
+def column_stats(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """Mean, median and sample standard deviation per column, nulls skipped.
 
-    The exact median never gathers a column's values on one task; ``exact=False``
-    takes an approximate percentile in the same pass as the mean.
+    The exact median takes a few scans that only count; ``exact=False`` takes an
+    approximate percentile in the same pass as the mean.
     """
+    if exact:
+        return quantiles.column_stats(df, columns)
     long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]))
     ).filter(F.col("value").isNotNull())
-    moments = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
-    if not exact:
-        return long.groupBy("name").agg(*moments, F.percentile_approx("value", 0.5).alias("median"))
-    return long.groupBy("name").agg(*moments).join(_medians(long, parts), "name")
+    return long.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile_approx("value", 0.5).alias("median"))
 
 
 def before_after(df: DataFrame, row_id: list[str], variant: str = "variant", score: str = "y_pred") -> DataFrame:

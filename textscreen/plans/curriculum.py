@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import scores as score_functions, text
+from ..functions import code, scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import curriculum
-from ..session import materialise
-from .fixtures import TOKEN_SQL, functions, split_functions, spread_table, table, texts, truth, u
+from ..session import materialise, shared_dir
+from .fixtures import TOKEN_SQL, functions, sources, split_functions, spread_table, table, texts, truth, u
 from .registered import query
 
 
@@ -53,6 +53,18 @@ def complexity_difficulty(spark, sf):
     return _sources(spark, sf).select("kind", "idx", text.complexity(F.col("func")).alias("difficulty"))
 
 
+@query(
+    """SELECT idx, count(pos)::int AS functions, round(avg(cc), 9) AS complexity, round(avg(size), 9) AS lexemes
+    FROM documents LEFT JOIN measured ON idx = doc_id GROUP BY idx""",
+    *("sources", "lexemes", "nested", "blocks", "found", "measured"),
+)
+def function_measures(spark, sf):
+    """Mean complexity and length of every file's functions; braces in comments, strings and literals count for nothing."""
+    totals = sources(spark, sf).select("idx", code.function_totals(F.col("func")).alias("all"))
+    means = [F.round(F.try_divide(F.col(f"all.{c}").cast("double"), F.col("all.n")), 9).alias(c) for c in ("complexity", "lexemes")]
+    return totals.select("idx", F.col("all.n").alias("functions"), *means)
+
+
 @query("SELECT doc_id, 1.0::double AS weight FROM documents")
 def unit_weight(spark, sf):
     documents = table(spark, sf, "documents").withColumn("split", F.lit("train"))
@@ -117,6 +129,15 @@ def curriculum_epochs(spark, sf):
     return reduce(DataFrame.unionByName, epochs).select("epoch", "idx", "weight")
 
 
+@query(_EPOCHS_SQL, "functions")
+def curriculum_stored(spark, sf):
+    """The same epochs from files clustered by rank, each reading only its own."""
+    ranked = curriculum.rank_for_epochs(_length_weights(spark, sf))
+    path = curriculum.store_ranked(ranked, shared_dir(spark, "clustered"), rows_per_part=100)
+    epochs = [curriculum.stored_epoch(spark, path, _LINEAR, e).withColumn("epoch", F.lit(e)) for e in (0, 3, 9)]
+    return reduce(DataFrame.unionByName, epochs).select("epoch", "idx", "weight")
+
+
 def _by_name_sql() -> str:
     branches = []
     measures = {

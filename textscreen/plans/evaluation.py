@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import workflows
 from ..functions import scores as score_functions, text
-from ..operators import checks, evaluate, joins, runs as run_operators
+from ..operators import checks, evaluate, joins, precision, runs as run_operators
 from ..session import shared_dir
 from ..sources import writers
 from .fixtures import TOKEN_SQL, functions, pair_preds, preds, runs, scores, split_functions, table, texts, truth
@@ -92,6 +92,31 @@ def average_precision(spark, sf):
     return rated.withColumn("average_precision", F.round("average_precision", 8))
 
 
+_CELLS = 200
+
+
+@query(
+    f"""WITH steps AS (SELECT model, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (
+        SELECT model, y_pred, sum(target)::double AS tp, count(*)::double AS n FROM preds GROUP BY ALL) WINDOW w AS (PARTITION BY model ORDER BY y_pred DESC)),
+    exact AS (SELECT model, sum(tp * ctp / cn) / sum(tp) AS ap FROM steps GROUP BY model),
+    cells AS (SELECT model, cell, p, n - p AS n, coalesce(sum(p) OVER w, 0) AS tp, coalesce(sum(n) OVER w, 0) AS seen FROM (
+        SELECT model, least({_CELLS - 1}, floor(y_pred * {_CELLS})) AS cell, sum(target)::double AS p, count(*)::double AS n FROM preds GROUP BY ALL)
+        WINDOW w AS (PARTITION BY model ORDER BY cell DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    bounds AS (SELECT model, sum(p * (tp + p) / (seen + p + n)) FILTER (p > 0) / sum(p) AS value, sum(p * (tp + p) / (seen + p)) FILTER (p > 0) / sum(p) AS high,
+        sum(CASE WHEN seen + n = 0 THEN p ELSE greatest(0, p - (seen + n - tp) * ln((seen + n + p + 0.5) / (seen + n + 0.5))) END) FILTER (p > 0) / sum(p) AS low FROM cells GROUP BY model)
+    SELECT model, round(value, 8) AS average_precision, round(low, 8) AS low, round(high, 8) AS high, round(ap, 8) AS exact, true AS inside FROM bounds JOIN exact USING (model)""",
+    "preds",
+)
+def average_precision_bounds(spark, sf):
+    """The bounds from two merged sketches, and the exact value inside them."""
+    rated, even = preds(spark, sf), F.col("idx") % 2 == 0
+    merged = precision.merge(*[precision.sketch(rated.filter(half), ["model"], cells=_CELLS) for half in (even, ~even)], by=["model"])
+    bounds = precision.average_precision_bounds(merged, ["model"])
+    exact = evaluate.average_precision(rated, ["model"]).withColumnRenamed("average_precision", "exact")
+    both = bounds.join(exact, "model").withColumn("inside", F.col("exact").between(F.col("low"), F.col("high")))
+    return both.select("model", *[F.round(c, 8).alias(c) for c in ("average_precision", "low", "high", "exact")], "inside")
+
+
 @query(
     """SELECT count(*) FILTER ((s1 > s0)::int = target)::double / count(*) AS accuracy,
     2 * count(*) FILTER (s1 > s0 AND target = 1)::double / (count(*) FILTER (s1 > s0) + count(*) FILTER (target = 1)) AS f1 FROM scores""",

@@ -122,6 +122,22 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), sequence.reshape(flat, FEATURES).alias("x"))
 
 
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files made of the documents: one function per line, with the line in a comment and in a string."""
+
+    def function(line: Column, i: Column) -> Column:
+        return F.concat(
+            F.lit("static int f"), i.cast("string"), F.lit("(const char *s, int n)"), F.when(i % 4 == 1, " const").otherwise(""),
+            F.lit(" {\n  // "), line, F.lit(" }\n  if (n > "), F.length(line).cast("string"),
+            F.lit(' && s) { put("'), F.translate(line, '"\\', "''"), F.lit('}"); }\n'),
+            F.when(i % 3 == 0, "  while (n) { n--; }\n").otherwise(""), F.when(i % 2 == 0, "  return n ? '{' : 0;\n").otherwise(""), F.lit("}\n"),
+        )
+
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    body = F.concat(F.lit("namespace a { class B {\n/* { if */\n"), F.array_join(F.transform(lines, function), ""), F.lit("}; }\nint g(int x);\n"))
+    return texts(spark, sf).select(F.col("doc_id").alias("idx"), body.alias("func"))
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """A metric per run and epoch."""
     events = table(spark, sf, "events")
@@ -169,6 +185,25 @@ CTES = {
     "token_rows": "SELECT idx, unnest(range(len(tokens))) AS t, unnest(tokens) AS token FROM tokens",
     "seq": """SELECT vec_id AS id, (i // 8)::int AS t, (i % 8)::int AS f, embedding[i + 1]::double AS v
         FROM embeddings, range(64) r(i)""",
+    "sources": r"""SELECT doc_id AS idx, 'namespace a { class B {' || chr(10) || '/* { if */' || chr(10) || (SELECT string_agg(
+            'static int f' || i || '(const char *s, int n)' || CASE WHEN i % 4 = 1 THEN ' const' ELSE '' END || ' {' || chr(10) || '  // ' || line || ' }' || chr(10)
+            || '  if (n > ' || length(line) || ' && s) { put("' || translate(line, '"\', ) || '}"); }' || chr(10)
+            || CASE WHEN i % 3 = 0 THEN '  while (n) { n--; }' || chr(10) ELSE '' END
+            || CASE WHEN i % 2 = 0 THEN '  return n ? ''{'' : 0;' || chr(10) ELSE '' END || '}' || chr(10), '' ORDER BY i)
+            FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i))
+        || '}; }' || chr(10) || 'int g(int x);' || chr(10) AS func FROM documents""",
+    "lexemes": r"""SELECT idx, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (SELECT idx, list_filter(regexp_extract_all(func,
+        '(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"?|''(?:[^''\\\n]|\\.)*''?|[A-Za-z0-9_]+|&&|[|][|]|[^ \t\r\n\f\x0B]'),
+        lambda t: NOT (starts_with(t, '/*') OR starts_with(t, '//'))) AS ts FROM sources)""",
+    "nested": """SELECT *, sum(CASE t WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER w AS depth, sum(CASE t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS paren,
+        lag(t) OVER w AS prior FROM lexemes WINDOW w AS (PARTITION BY idx ORDER BY pos)""",
+    "blocks": """SELECT idx, t, pos, prior, min(CASE WHEN t = '}' THEN pos END) OVER (PARTITION BY idx, depth + (t = '{')::int * -1 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS till,
+        max(CASE WHEN t = '(' AND paren = 1 THEN pos - 1 END) OVER (PARTITION BY idx ORDER BY pos) AS name FROM nested""",
+    "found": """SELECT idx, pos, till, name FROM (SELECT *, max(till) OVER (PARTITION BY idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered
+        FROM blocks WHERE t = '{' AND prior IN (')', 'const') AND till IS NOT NULL) WHERE covered IS NULL OR covered < pos""",
+    "measured": """SELECT f.idx, f.pos, any_value(f.till - f.name + 1) AS size,
+        1 + count(*) FILTER (l.t IN ('if', 'for', 'while', 'case', 'catch', '&&', '||', '?')) AS cc
+        FROM found f JOIN lexemes l ON l.idx = f.idx AND l.pos BETWEEN f.pos AND f.till GROUP BY f.idx, f.pos""",
     "runs": """SELECT event_type AS run, event_id // 1000 AS epoch, round(avg(value), 6) AS val_ap FROM events GROUP BY ALL""",
     "conf": """SELECT model, count(*) FILTER (target = 0 AND y_pred <= 0.5) AS tn, count(*) FILTER (target = 0 AND y_pred > 0.5) AS fp,
         count(*) FILTER (target = 1 AND y_pred <= 0.5) AS fn, count(*) FILTER (target = 1 AND y_pred > 0.5) AS tp FROM preds GROUP BY model""",

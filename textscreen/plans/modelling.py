@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import workflows
 from ..functions.hashing import uniform
-from ..operators import models
+from ..operators import evaluate, models, training
+from ..operators.curriculum import rank_for_epochs
 from ..session import materialise, shared_dir
 from ..sources import writers
 from .fixtures import table, u
@@ -115,6 +116,50 @@ def train_run(spark, sf):
     return metrics.select(F.col("epoch").cast("long").alias("epoch"), "split", "metric", F.round("value", 5).alias("value"))
 
 
+_STEPS = [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 3)]  # (epoch, batch), as four batches fill the table
+_ADAM = training.Optimizer("adamw", lr=0.05, betas=(0.9, 0.99), eps=1e-8, decay=0.01)
+
+
+def _steps_sql() -> str:
+    """Every step written out on long tables: softmax, mean gradient, moments, weights."""
+    parts = [
+        f"""r AS MATERIALIZED (SELECT idx, target, weight * n::double / count(*) OVER (PARTITION BY target) AS scale, n,
+            row_number() OVER (ORDER BY weight, idx) - 1 AS pos FROM (SELECT idx, target, weight, count(*) OVER () AS n FROM ({_EXAMPLES_SQL})))""",
+        "x AS MATERIALIZED (SELECT vec_id AS idx, f, CASE WHEN f < 8 THEN embedding[f + 1]::double ELSE 1 END AS v FROM embeddings, range(9) t(f))",
+        "s0 AS (SELECT c, f, 0.0::double AS w, 0.0::double AS m, 0.0::double AS v FROM range(2) a(c), range(9) b(f))",
+    ]
+    for i, (epoch, batch) in enumerate(_STEPS):
+        t, (b1, b2) = i + 1, _ADAM.betas
+        parts += [
+            f"""b{i} AS MATERIALIZED (SELECT idx, target, scale, count(*) OVER () AS size FROM (SELECT *, (row_number() OVER (ORDER BY md5('42-{epoch}-' || idx), idx) - 1) // ((n + 3) // 4) AS batch
+                FROM r WHERE pos < floor(n * {(epoch + 1) * 0.5})) WHERE batch = {batch})""",
+            f"z{i} AS (SELECT idx, c, exp(sum(w * x.v)) AS e FROM b{i} JOIN x USING (idx) JOIN s{i} USING (f) GROUP BY idx, c)",
+            f"q{i} AS (SELECT idx, c, e / sum(e) OVER (PARTITION BY idx) AS p FROM z{i})",
+            f"g{i} AS (SELECT c, f, sum(scale * (p - (target = c)::int) * v / size) AS g FROM b{i} JOIN q{i} USING (idx) JOIN x USING (idx) GROUP BY c, f)",
+            f"""s{t} AS MATERIALIZED (SELECT c, f, w * (1 - {_ADAM.lr} * {_ADAM.decay}) - {_ADAM.lr} * (m / (1 - pow({b1}, {t}))) / (sqrt(v / (1 - pow({b2}, {t}))) + {_ADAM.eps}) AS w, m, v
+                FROM (SELECT c, f, w, {b1} * m + (1 - {b1}) * g AS m, {b2} * v + (1 - {b2}) * g * g AS v FROM s{i} JOIN g{i} USING (c, f)))""",
+        ]
+    ends = [max(i for i, (e, _) in enumerate(_STEPS) if e == epoch) + 1 for epoch in (0, 1)]
+    states = " UNION ALL ".join(f"SELECT {e} AS epoch, {end}::bigint AS step, * FROM s{end}" for e, end in enumerate(ends))
+    return f"WITH {', '.join(parts)} SELECT epoch, step, c::int AS class, f::int AS feature, round(w, 7) AS w FROM ({states})"
+
+
+@query(_steps_sql())
+def train_epochs(spark, sf):
+    """Two epochs in mini-batches, the first on the half with the smallest weights; the second goes on from its weights."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
+    rows = _examples(spark, sf).select("idx", "target", "weight").join(vectors, "idx")
+    rows = evaluate.with_class_weight(rows).withColumn("scale", F.col("class_weight") * F.col("weight"))
+    ranked = materialise(rank_for_epochs(rows), "ranked")
+    size = (ranked.count() + 3) // 4
+    config = {"schedule": "linear", "linear_steps": 1, "linear_split": 0.5}
+    states = training.train(ranked, training.initial_state(spark, 8), config, 2, _ADAM, size, vector="x", weight="scale")
+    lines = [state.select(F.lit(e).alias("epoch"), "step", "classes", "width", F.posexplode("w").alias("at", "w")) for e, state in enumerate(states)]
+    return lines[0].unionByName(lines[1]).select(
+        "epoch", "step", F.expr("at div width").cast("int").alias("class"), (F.col("at") % F.col("width")).cast("int").alias("feature"), F.round("w", 7).alias("w")
+    )
+
+
 @query(
     f"""SELECT vec_id AS idx, round(1 / (1 + exp(-list_sum(list_transform(range({_VECTORS}),
     lambda i: embedding[i + 1]::double * (((i * 37) % 101) / 50.0 - 1)::double)))), 8) AS y_pred FROM embeddings"""

@@ -25,6 +25,14 @@ def scan_csv(spark, sf):
     return readers.read_csv(spark, path, readers.CANONICAL)
 
 
+@query("""SELECT doc_id AS idx, replace(text, '. ', '."' || chr(10) || ', "') AS func, (doc_id % 2)::int AS target FROM documents""")
+def scan_csv_split(spark, sf):
+    """Texts with quotes, commas and line ends, every file read by as many tasks as it has byte ranges."""
+    written = F.replace("text", F.lit(". "), F.lit('."\n, "')).alias("func")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), written, (F.col("doc_id") % 2).cast("int").alias("target"))
+    return readers.read_csv_split(spark, writers.write_csv(rows, shared_dir(spark, "csv_split")), readers.CANONICAL)
+
+
 @query("SELECT idx, func, target FROM functions", "functions")
 def scan_jsonl(spark, sf):
     rows = functions(spark, sf).select("idx", "func", "target")

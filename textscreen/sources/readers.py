@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..session import materialise
+
 CANONICAL = StructType(
     [StructField("idx", LongType()), StructField("func", StringType()), StructField("target", IntegerType())]
 )
@@ -28,6 +30,58 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | No
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def read_csv_split(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
+    """``read_csv`` of text that spans lines, with every file read by many tasks.
+
+    A task reads the lines of its byte range and cannot know whether the first one
+    lies inside quotes. So the quotes of every range are counted, the parity before
+    each range follows from the ranges before it, and a line starts a record where
+    the number of quotes before it is even. Lines are shuffled once, by range; only
+    the first and last piece of a range, whose record may go on in other ranges, are
+    put together across ranges.
+
+    Quotes inside a quoted value must be doubled, and stand in pairs elsewhere. Each
+    file starts with its header. Without a schema every column is text.
+    """
+    schema = schema or read_csv(spark, path).schema
+    text = spark.read.option("lineSep", "\n").text(path)
+    group = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.select("value", group.alias("_range"), F.monotonically_increasing_id().alias("_seq"))
+    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+
+    inside = Window.partitionBy("_range").orderBy("_seq")
+    earlier = F.coalesce(F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = lines.select("_range", "_seq", "_quotes").withColumn("_odd", earlier % 2)
+    # One line per range: its quotes, and how many records start in it if the parity before it is even or odd.
+    ranges = counted.groupBy("_range").agg(F.sum("_quotes").alias("quotes"), F.count_if(F.col("_odd") == 0).alias("even"), F.count_if(F.col("_odd") == 1).alias("odd"))
+    before = Window.partitionBy("_range.file").orderBy("_range.block").rowsBetween(Window.unboundedPreceding, -1)
+    parity = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
+    ranges = ranges.select("_range", parity.alias("_parity"), F.when(parity == 0, F.col("even")).otherwise(F.col("odd")).alias("_starts"))
+    # A range's first lines may belong to the last record of the last range that starts one.
+    open_record = F.last(F.when(F.col("_starts") > 0, F.struct(F.col("_range.block").alias("block"), F.col("_starts").alias("record"))), ignorenulls=True)
+    ranges = materialise(ranges.withColumn("_open", open_record.over(before)), "ranges")
+
+    known = lines.join(ranges.hint("shuffle_hash"), "_range")
+    starts = (F.col("_parity") + earlier) % 2 == 0
+    numbered = known.withColumn("_record", F.sum(starts.cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy("_range", "_record").agg(
+        F.array_sort(F.collect_list(F.struct("_seq", "value"))).alias("_lines"), F.first("_starts").alias("_starts"), F.first("_open").alias("_open")
+    )
+    pieces = pieces.withColumn("_text", F.array_join(F.transform("_lines", lambda line: line["value"]), "\n")).drop("_lines")
+    at_edge = (F.col("_record") == 0) | (F.col("_record") == F.col("_starts"))
+    home = F.when(F.col("_record") == 0, F.col("_open")).otherwise(F.struct(F.col("_range.block").alias("block"), F.col("_record").alias("record")))
+    edges = pieces.filter(at_edge).select(F.col("_range.file").alias("_file"), home.alias("_home"), F.struct("_range.block", "_text").alias("_piece"))
+    joined = edges.groupBy("_file", "_home").agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+    joined = joined.select("_home", F.array_join(F.transform("_pieces", lambda p: p["_text"]), "\n").alias("_text"))
+    inner = pieces.filter(~at_edge).select(F.struct(F.col("_range.block").alias("block"), F.col("_record").alias("record")).alias("_home"), "_text")
+
+    records = inner.unionByName(joined).filter("NOT (_home.block = 0 AND _home.record = 1)")
+    record = F.regexp_replace("_text", r"\r\z", "")
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = records.select(record.alias("_text")).filter(F.trim("_text") != "")
+    return parsed.select(F.from_csv("_text", ddl, {"escape": '"', "multiLine": "true"}).alias("_row")).select("_row.*")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType = CANONICAL) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

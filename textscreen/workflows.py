@@ -6,12 +6,16 @@ coefficients, a few metrics per epoch and file paths.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+import uuid
+from collections.abc import Sequence
+from dataclasses import asdict
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import sequence
 from .functions.scores import above, sample_weight
-from .operators import checks, evaluate, models
+from .operators import checks, evaluate, models, training
 from .operators.curriculum import curriculum_weights, epoch_rows, epoch_size, rank_for_epochs
 from .operators.joins import join_truth
 from .operators.rewrite import unpivot_pairs
@@ -29,9 +33,21 @@ def pooled_features(
     return dense.select(row_id, array_to_vector(sequence.max_pool(F.col("x"))).alias("features"))
 
 
+def _scored(rows: DataFrame, model, row_id: str = "idx", keep: Sequence[str] = ()) -> DataFrame:
+    """Scores of a fitted model or of a state of ``training``."""
+    if isinstance(model, DataFrame):
+        vectors = rows.withColumn("_features", vector_to_array("features"))
+        return training.score(vectors, model, "_features").select(row_id, *keep, "y_pred")
+    return models.score(rows, model, row_id, keep)
+
+
+def _save(model, path: str) -> None:
+    model.write.mode("overwrite").parquet(path) if isinstance(model, DataFrame) else model.write().overwrite().save(path)
+
+
 def epoch_metrics(rows: DataFrame, model, target: str = "target", row_id: str = "idx") -> dict[str, float]:
     """Accuracy, average precision, F1 and weighted loss of a model on rows with ``class_weight`` and ``weight``."""
-    scored = models.score(rows, model, row_id, [target, "class_weight", "weight"])
+    scored = _scored(rows, model, row_id, [target, "class_weight", "weight"])
     points = evaluate.point_metrics(scored, truth=target).first()
     precision = evaluate.average_precision(scored, truth=target).first()
     # The log of the odds and zero are class scores with the same softmax.
@@ -50,13 +66,20 @@ def train_and_test(
     length: int = 1024,
     features: int = 768,
     keep: int = 2,
+    optimizer: training.Optimizer | None = None,
+    batch_size: int | None = None,
+    state: DataFrame | None = None,
     **options,
 ) -> dict:
     """Fit on the rows each epoch's curriculum allows, keep the best by validation AP, score the test split.
 
+    With an ``optimizer`` the weights go on from epoch to epoch, in steps of
+    ``batch_size`` rows (all of them without a size), from ``state`` or from zero.
+    Without one every epoch is fitted anew to the end on its rows.
+
     ``splits`` holds canonical ``train``, ``valid`` and ``test`` tables. One class
     weight per class, from the whole training split, serves every epoch and split.
-    Epochs with the same rows share one fit. Below ``out`` go the parameters, the
+    Epochs with the same rows share one fit, if each is fitted anew. Below ``out`` go the parameters, the
     metrics of every epoch with their best so far (``max_`` and the name), the
     test metrics of the best epoch, the kept models and the test predictions as
     text lines.
@@ -69,6 +92,8 @@ def train_and_test(
         raise ValueError(f"a curriculum weight of {curriculum['weight']} gives negative sample weights: use at most 1")
     spark, metrics_path = vocab.sparkSession, f"{out}/run_metrics"
     settings = {**{f"curriculum.{k}": v for k, v in curriculum.items()}, "epochs": epochs, "length": length, "features": features, **options}
+    if optimizer:
+        settings |= {"batch_size": batch_size, **{f"optimizer.{k}": v for k, v in asdict(optimizer).items()}}
     parameters = writers.log_parameters(spark, run, settings, f"{out}/run_parameters")
     class_weights = materialise(evaluate.class_weights(splits["train"].filter("target IS NOT NULL")), f"{run}-classes")
     tables = {}
@@ -82,34 +107,45 @@ def train_and_test(
         # Every epoch reads these again, so they are computed once.
         tables[split] = materialise(joined, f"{run}-{split}")
 
-    def log(epoch: int, split: str, values: dict[str, float]) -> None:
-        rows = [(run, epoch, split, name, float(value)) for name, value in values.items()]
-        writers.append_metrics(spark.createDataFrame(rows, writers.METRICS), metrics_path)
+    attempt = uuid.uuid4().hex
+
+    def log(epoch: int, lines: list[tuple[str, dict[str, float]]]) -> None:
+        rows = [(run, epoch, split, name, float(value)) for split, values in lines for name, value in values.items()]
+        writers.append_metrics(spark.createDataFrame(rows, writers.METRICS), metrics_path, attempt)
 
     total = tables["train"].count()
     # Per number of rows the model and its metrics; the rows of equal numbers are equal.
     by_size, fitted, best_yet = {}, [], {}
+    if optimizer:
+        state = training.initial_state(spark, features) if state is None else state
+        slim = F.col("class_weight") * F.col("weight")
+        steps = materialise(tables["train"].select("idx", "target", "position", "position_total", vector_to_array("features").alias("vector"), slim.alias("scale")), f"{run}-steps")
     for epoch in range(epochs):
         size = epoch_size(curriculum, epoch, total)
-        if size not in by_size:
+        if optimizer:
+            subset = epoch_rows(steps, curriculum, epoch)
+            state = training.epoch(subset, state, optimizer, batch_size, f"{options.get('seed', 42)}-{epoch}", weight="scale")
+            by_size[size] = state, {split: epoch_metrics(tables[split], state) for split in ("train", "valid")}
+        elif size not in by_size:
             subset = epoch_rows(tables["train"], curriculum, epoch)
             model = models.train_weighted(subset, weight="weight", class_weights=class_weights, **options)
             by_size[size] = model, {split: epoch_metrics(tables[split], model) for split in ("train", "valid")}
         model, found = by_size[size]
         fitted.append(model)
+        lines = []
         for split, values in found.items():
-            log(epoch, split, values)
             # Like ``runs.running_best``, from the few numbers that are here already.
             best_yet[split] = {name: max(0.0, value, best_yet.get(split, {}).get(name, 0.0)) for name, value in values.items()}
-            log(epoch, split, {f"max_{name}": value for name, value in best_yet[split].items()})
+            lines += [(split, values), (split, {f"max_{name}": value for name, value in best_yet[split].items()})]
+        log(epoch, lines)
 
     rated = writers.read_metrics(spark, metrics_path).filter((F.col("run") == run) & (F.col("split") == "valid") & (F.col("metric") == "ap"))
     kept = top_checkpoints(rated.select("run", "epoch", F.col("value").alias("val_ap")), keep=keep).collect()
     for line in kept:
-        fitted[line["epoch"]].write().overwrite().save(f"{out}/models/{run}/epoch={line['epoch']}")
+        _save(fitted[line["epoch"]], f"{out}/models/{run}/epoch={line['epoch']}")
     best = max(kept, key=lambda line: (line["val_ap"], -line["epoch"]))["epoch"]
-    log(best, "test", epoch_metrics(tables["test"], fitted[best]))
-    predictions = writers.write_prediction_lines(models.score(tables["test"], fitted[best]), f"{out}/predictions/{run}.txt")
+    log(best, [("test", epoch_metrics(tables["test"], fitted[best]))])
+    predictions = writers.write_prediction_lines(_scored(tables["test"], fitted[best]), f"{out}/predictions/{run}.txt")
     return {"best_epoch": best, "kept": sorted(line["epoch"] for line in kept), "metrics": metrics_path, "parameters": parameters, "predictions": predictions}
 
 
