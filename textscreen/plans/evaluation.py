@@ -96,7 +96,7 @@ _CELLS = 200
 
 
 @query(
-    f"""WITH steps AS (SELECT model, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (
+    f""", steps AS (SELECT model, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (
         SELECT model, y_pred, sum(target)::double AS tp, count(*)::double AS n FROM preds GROUP BY ALL) WINDOW w AS (PARTITION BY model ORDER BY y_pred DESC)),
     exact AS (SELECT model, sum(tp * ctp / cn) / sum(tp) AS ap FROM steps GROUP BY model),
     cells AS (SELECT model, cell, p, n - p AS n, coalesce(sum(p) OVER w, 0) AS tp, coalesce(sum(n) OVER w, 0) AS seen FROM (

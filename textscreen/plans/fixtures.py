@@ -187,7 +187,7 @@ CTES = {
         FROM embeddings, range(64) r(i)""",
     "sources": r"""SELECT doc_id AS idx, 'namespace a { class B {' || chr(10) || '/* { if */' || chr(10) || (SELECT string_agg(
             'static int f' || i || '(const char *s, int n)' || CASE WHEN i % 4 = 1 THEN ' const' ELSE '' END || ' {' || chr(10) || '  // ' || line || ' }' || chr(10)
-            || '  if (n > ' || length(line) || ' && s) { put("' || translate(line, '"\', ) || '}"); }' || chr(10)
+            || '  if (n > ' || length(line) || ' && s) { put("' || translate(line, '"\', repeat(chr(39), 2)) || '}"); }' || chr(10)
             || CASE WHEN i % 3 = 0 THEN '  while (n) { n--; }' || chr(10) ELSE '' END
             || CASE WHEN i % 2 = 0 THEN '  return n ? ''{'' : 0;' || chr(10) ELSE '' END || '}' || chr(10), '' ORDER BY i)
             FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i))
