@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .blocks import cut
 
 LONG = 1_000
-WORDS = 8_000  # words in one recursive query
+WORDS = 24_000  # words in one recursive query; each of its rounds hashes the merge table once
 KEPT = 300_000  # words whose result is kept
 
 _ENCODE = f"""
@@ -115,7 +116,9 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.decoded: list[bytes] = []
-        self.ids, self.lengths = [], []
+        # Where each word's ids begin and end in one buffer that grows by doubling.
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not in the table yet."""
@@ -149,27 +152,46 @@ class Encoder:
             back = self.connection.execute(_DECODE).fetchnumpy()["bytes"]
             for k, i in enumerate(chosen):
                 made[i], decoded[i] = tokens[ends[k] : ends[k + 1]], bytes.fromhex(back[k])
-        for word, ids, text in zip(words, made, decoded):
-            self.index[word] = len(self.decoded)
-            self.decoded.append(text)
-            self.ids.append(ids)
-            self.lengths.append(len(ids))
+        first, lengths = len(self.decoded), np.fromiter(map(len, made), np.int64, len(made))
+        self.index.update(zip(words, range(first, first + len(words))))
+        self.decoded += decoded
+        self.starts, self.lengths = _room(self.starts, first + len(words)), _room(self.lengths, first + len(words))
+        self.lengths[first : first + len(words)] = lengths
+        self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.ids, end = _room(self.ids, self.used + int(lengths.sum())), self.used + int(lengths.sum())
+        self.ids[self.used : end] = np.concatenate(made)
+        self.used = end
 
     def encode(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Token ids and decoded bytes of each text, given as its pre-tokens."""
         if len(self.index) > KEPT:
             self.clear()
-        new = dict.fromkeys(word for words in texts for word in words)
-        fresh = [word for word in new if word not in self.index]
+        # Equal words are found by Arrow, so only distinct ones are looked up here.
+        coded = pa.array(list(chain.from_iterable(texts)), pa.large_string()).dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        fresh = [word for word in distinct if word not in self.index]
         if fresh:
             self.learn(fresh)
-        ids, lengths = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32), np.array(self.lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
-        for words in texts:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            counts = lengths[at]
-            places = np.arange(counts.sum()) + np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
-            yield ids[places], b"".join([self.decoded[i] for i in at.tolist()])
+        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        counts = self.lengths[known][at]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[known][at] - (ends - counts), counts)]
+        words = pa.array([self.decoded[i] for i in known.tolist()], pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(words.buffers()[1], np.int64) if len(words) else np.zeros(1, np.int64)
+        data = words.buffers()[2]
+        data, ends = data.to_pybytes() if data is not None else b"", np.concatenate([np.zeros(1, np.int64), ends])
+        stops = np.cumsum(list(map(len, texts)), dtype=np.int64)
+        for start, stop in zip([0, *stops.tolist()], stops.tolist()):
+            yield ids[ends[start] : ends[stop]], data[offsets[start] : offsets[stop]]
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array itself if it holds ``size`` values, else a copy of at least twice its length."""
+    if len(values) >= size:
+        return values
+    grown = np.zeros(max(size, 2 * len(values)), values.dtype)
+    grown[: len(values)] = values
+    return grown
 
 
 _encoders: dict[str, Encoder] = {}
