@@ -10,7 +10,7 @@ import xxhash
 import __spark_entry__ as driver
 import corpus_pipeline
 import oracle
-from textscreen.llm import bpe, counts, extract, licences, lines, packing, pitman_yor, quality, simhash, vectors
+from textscreen.llm import bpe, extract, licences, lines, packing, pitman_yor, quality, simhash, vectors
 from textscreen.llm import queries as registered
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -160,7 +160,7 @@ def test_embeddings_brute_force(spark):
     assert got == {r[0]: (n[i], rows[group[i]][0], group[i] == i) for i, r in enumerate(rows)}
 
 
-def test_bpe_and_counts(spark, odd):
+def test_bpe(spark, odd):
     path = public_tokenizers.path(registered.VOCABULARY)
     coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rows = bpe.encode(odd, path, public_tokenizers.PATTERN).collect()
@@ -170,19 +170,6 @@ def test_bpe_and_counts(spark, odd):
         if r["doc_id"] is not None:
             assert list(r["ids"]) == coder.encode_ordinary(text[r["doc_id"]] or "") and bytes(r["decoded"]) == (text[r["doc_id"]] or "").encode()
 
-    def edits(t):
-        return [(0, 1, "Z z"), (len(t) // 2, len(t) // 2 + 3, ""), (len(t), len(t), " end")] if t else []
-
-    path_counter = counts.Counter(bpe.read_ranks(path), public_tokenizers.PATTERN)
-    for t in TEXTS:
-        t = t or ""
-        kept = counts.ordered(edits(t), len(t))
-        new = t
-        for a, b, put in reversed(kept):
-            new = new[:a] + put + new[b:]
-        before, _, after, _ = counts.count_edited(t, edits(t), path_counter)
-        assert (before, after) == (len(coder.encode_ordinary(t)), len(coder.encode_ordinary(new)))
-    assert counts.counts(odd, path, public_tokenizers.PATTERN, edits).count() == odd.count()
     assert bpe.encode(odd.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 

@@ -1,11 +1,14 @@
 """Token counts that follow edits without encoding a text again.
 
 A document's pre-tokens are the leaves of a segment tree whose nodes hold the
-characters and tokens below them. An edit finds its leaves by character offset,
-splits only the text from a little before it up to the first place after it where
-the new split meets an old boundary, encodes that, and renews the sums above. Pre-
-tokens look at most ``AHEAD`` characters past their end and never back, so the
-split outside that stretch is what a full run would give.
+characters and tokens below them. A first pass (``build``) encodes every text once
+and stores its tree, one row a document, by its leaves: two arrays, from which the
+sums above follow. Later passes (``apply_edits``) read the stored rows and touch only
+those with edits. An edit finds its leaves by character offset, splits only the text
+from a little before it up to the first place after it where the new split meets an
+old boundary, encodes that, and renews the sums above. Pre-tokens look at most
+``AHEAD`` characters past their end and never back, so the split outside that stretch
+is what a full run would give. What comes out can be stored and edited again.
 
 Null texts count as empty. Edits are ``(start, stop, replacement)`` in characters
 of the original text; they apply in order of start, a null replacement deletes,
@@ -15,14 +18,15 @@ inside an earlier one is left out and not counted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .blocks import per_row
 from .bpe import read_ranks
@@ -31,7 +35,8 @@ AHEAD = 2
 KEPT = 300_000  # pre-tokens whose count is kept in a worker
 
 Edit = tuple[int, int, str | None]
-COUNTS = "n_tokens_before long, n_edits long, n_tokens_after long, n_reencoded long"
+CROWDED = 16  # pieces that a leaf takes in beyond its own before all are dealt anew
+COUNTS = "n_tokens_before long, n_edits long, n_tokens_after long, n_reencoded long, n_pieces long"
 
 
 class Counter:
@@ -52,26 +57,45 @@ class Counter:
 
 
 class Tree:
-    """The pre-tokens of one text; leaves keep their number, an edit refills those it touches."""
+    """A text and its pre-tokens; leaves keep their number, an edit refills those it touches.
 
-    def __init__(self, pieces: list[str], counts: list[int], counter: Counter):
-        self.counter, self.leaves = counter, list(pieces)
-        self.size = 1 << max(0, len(pieces) - 1).bit_length() if pieces else 1
-        self.leaves += [""] * (self.size - len(pieces))
+    A leaf that takes in more pieces than it has place for holds them together until
+    there are more than ``CROWDED``; then all leaves are dealt anew.
+    """
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, counter: Counter):
+        self.text, self.counter, self.reencoded = text, counter, 0
+        self._deal(chars, tokens)
+
+    def _deal(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.count = max(1, len(chars))
+        self.size = 1 << max(0, len(chars) - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        self.chars[self.size : self.size + len(pieces)] = [len(p) for p in pieces]
-        self.tokens[self.size : self.size + len(pieces)] = counts
+        self.chars[self.size : self.size + len(chars)], self.tokens[self.size : self.size + len(chars)] = chars, tokens
+        self.packed: dict[int, tuple[list[int], list[int]]] = {}
         level = self.size
         while level > 1:
             half = level // 2
             for sums in (self.chars, self.tokens):
                 sums[half:level] = sums[level : 2 * level].reshape(-1, 2).sum(1)
             level = half
-        self.reencoded = 0
 
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of every pre-token."""
+        chars, tokens = [], []
+        own = zip(self.chars[self.size : self.size + self.count].tolist(), self.tokens[self.size : self.size + self.count].tolist())
+        for k, (c, t) in enumerate(own):
+            if k in self.packed:
+                chars += self.packed[k][0]
+                tokens += self.packed[k][1]
+            elif c:
+                chars.append(c)
+                tokens.append(t)
+        return chars, tokens
+
     def find(self, offset: int) -> tuple[int, int]:
         """The leaf that holds a character offset, and where the leaf begins; the last leaf for the end."""
         node, start = 1, 0
@@ -84,47 +108,47 @@ class Tree:
 
     def edit(self, start: int, stop: int, replacement: str) -> None:
         """Replace the characters ``[start, stop)`` of the text as it is now."""
-        length = int(self.chars[1])
+        length = len(self.text)
         # The first leaf that could look into the edit, or touches it.
         first, begin = self.find(max(0, start - AHEAD - 1))
         last, last_begin = self.find(max(stop - 1, start) if stop < length or start < length else max(0, length - 1))
-        end = last_begin + int(self.chars[self.size + last])
-        old = "".join(self.leaves[first : last + 1])
-        head = old[: start - begin] + replacement + old[stop - begin :] if stop <= end else old[: start - begin] + replacement
-        settled = start - begin + len(replacement)
+        shift = len(replacement) - (stop - start)
+        end, settled = max(last_begin + int(self.chars[self.size + last]), stop) + shift, start + len(replacement)
+        self.text = self.text[:start] + replacement + self.text[stop:]
         more, window = last + 1, 4
         while True:
-            upto = min(self.size, more + window)
-            tail = self.leaves[more:upto]
-            text = head + "".join(tail)
-            complete = upto == self.size or not any(self.leaves[upto:])
-            borders, at = {len(head): last}, len(head)
-            for i, leaf in enumerate(tail):
-                at += len(leaf)
-                borders[at] = more + i
-            pieces, stopped = [], None
-            for match in self.counter.split.finditer(text):
+            upto = max(more, min(self.count, more + window))
+            borders, at = {end: last}, end
+            for k in range(more, upto):
+                at += int(self.chars[self.size + k])
+                borders[at] = k
+            complete = upto >= self.count
+            seen = self.text[begin:at]
+            pieces, region = [], upto - 1
+            for match in self.counter.split.finditer(seen):
                 pieces.append(match.group())
-                place = match.end()
-                if place >= settled and place in borders and (place + AHEAD < len(text)):
-                    stopped = place
+                place = begin + match.end()
+                if place >= settled and place in borders and place + AHEAD < at:
+                    region, complete = borders[place], True
                     break
-            if stopped is not None or complete:
-                region = borders[stopped] if stopped is not None else upto - 1
+            if complete:
                 break
             window *= 2
-        self.fill(first, region, pieces)
+        self.fill(first, max(first, region), pieces)
 
     def fill(self, first: int, last: int, pieces: list[str]) -> None:
         """Put pieces into the leaves ``first..last``, what is left over into the last, and renew the sums above."""
         counts = self.counter.of(pieces)
         self.reencoded += len(pieces)
-        room = last - first + 1
+        room, lengths = last - first + 1, list(map(len, pieces))
         for k in range(room):
-            mine, own = (pieces[k : k + 1], counts[k : k + 1]) if k < room - 1 else (pieces[k:], counts[k:])
-            self.leaves[first + k] = "".join(mine)
-            self.chars[self.size + first + k] = sum(map(len, mine))
-            self.tokens[self.size + first + k] = sum(own)
+            mine, own = (lengths[k : k + 1], counts[k : k + 1]) if k < room - 1 else (lengths[k:], counts[k:])
+            self.packed.pop(first + k, None)
+            if len(mine) > 1:
+                self.packed[first + k] = mine, own
+            self.chars[self.size + first + k], self.tokens[self.size + first + k] = sum(mine), sum(own)
+        if len(lengths) - room >= CROWDED:
+            return self._deal(*map(np.array, self.leaves()))
         low, high = (self.size + first) // 2, (self.size + last) // 2
         while low:
             for sums in (self.chars, self.tokens):
@@ -143,18 +167,13 @@ def ordered(edits: list[Edit | None] | None, length: int) -> list[tuple[int, int
     return out
 
 
-def count_edited(text: str, edits: list[Edit | None] | None, counter: Counter) -> tuple[int, int, int, int]:
-    """``(tokens before, edits, tokens after, pre-tokens encoded again)``."""
-    pieces = counter.split.findall(text)
-    counts = counter.of(pieces)
-    before, todo = sum(counts), ordered(edits, len(text))
-    if not todo:
-        return before, 0, before, 0
-    tree, shift = Tree(pieces, counts, counter), 0
+def edited_tree(text: str, chars: list[int], tokens: list[int], edits: list[Edit | None] | None, counter: Counter) -> tuple[Tree, int]:
+    """The tree after all edits, and how many there were."""
+    tree, shift, todo = Tree(text, np.array(chars, np.int64), np.array(tokens, np.int64), counter), 0, ordered(edits, len(text))
     for start, stop, new in todo:
         tree.edit(start + shift, stop + shift, new)
         shift += len(new) - (stop - start)
-    return before, len(todo), tree.total(), tree.reencoded
+    return tree, len(todo)
 
 
 _counters: dict[tuple[str, str], Counter] = {}
@@ -167,20 +186,67 @@ def _counter(vocabulary: str, pattern: str) -> Counter:
     return _counters[vocabulary, pattern]
 
 
-def counts(docs: DataFrame, vocabulary: str, pattern: str, edits: Callable[[str], list[Edit]], text: str = "text", out: str = "counts") -> DataFrame:
-    """``docs`` with the struct ``out`` of token counts before and after the edits that ``edits(text)`` asks for.
+def build(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "tree") -> DataFrame:
+    """``docs`` with the struct ``out`` of ``(chars, tokens)``, the leaves of each text's tree; write the result.
 
-    Rows stay as they are. ``pattern`` must match every character, as the split of
-    a byte-level BPE does.
+    Rows stay as they are, repeated ones too; a column named ``out`` is replaced. No
+    rows give no rows. ``pattern`` must match every character, as the split of a
+    byte-level BPE does.
     """
 
     def measure(texts: pa.Array) -> pa.StructArray:
         counter = _counter(vocabulary, pattern)
-        rows = [count_edited(x or "", edits(x or ""), counter) for x in texts.to_pylist()]
-        names = [x.split()[0] for x in COUNTS.split(", ")]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+        pieces = [counter.split.findall(x or "") for x in texts.to_pylist()]
+        chars = pa.array([list(map(len, p)) for p in pieces], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([chars, pa.array([counter.of(p) for p in pieces], pa.list_(pa.int32()))], ["chars", "tokens"])
+
+    return per_row(docs, text, measure, "chars array<int>, tokens array<int>", out)
 
-    return per_row(docs, text, measure, COUNTS, out)
+
+def apply_edits(
+    stored: DataFrame, vocabulary: str, pattern: str, edits: str | Callable[[str], list[Edit]], text: str = "text", tree: str = "tree", out: str = "counts", keep: bool = True
+) -> DataFrame:
+    """``stored`` rows of ``build`` with the struct ``out`` of counts, and with ``text`` and ``tree`` as the edits leave them.
+
+    ``edits`` is a column of arrays of ``(start, stop, replacement)``, or a function of
+    the text. Rows without edits are not encoded at all. ``n_reencoded`` of ``n_pieces``
+    pre-tokens were encoded again. Without ``keep`` neither text nor tree comes back.
+    """
+    given = isinstance(edits, str)
+    kept = [c for c in stored.columns if c != out and (keep or c not in (text, tree))]
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    source = stored.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col(f"`{text}`").alias("text"), F.col(f"`{tree}`").alias("tree"), *([F.col(f"`{edits}`").alias("edits")] if given else [])).alias("_read"))
+    schema = T.StructType([*[stored.schema[c] for c in kept], T.StructField(out, T.StructType.fromDDL(COUNTS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(vocabulary, pattern)
+        for batch in batches:
+            read = batch.column(len(kept))
+            texts, leaves = read.field("text").to_pylist(), read.field("tree")
+            asked = [[e and tuple(e.values()) for e in row or ()] for row in read.field("edits").to_pylist()] if given else [edits(x or "") for x in texts]
+            chars, tokens = leaves.field("chars"), leaves.field("tokens")
+            rows, after = [], {}
+            for i, todo in enumerate(asked):
+                before = int(pc.sum(tokens[i].values).as_py() or 0) if tokens[i].is_valid else 0
+                made = (before, 0, before, 0, len(tokens[i]) if tokens[i].is_valid else 0)
+                if todo:
+                    new, n = edited_tree(texts[i] or "", chars[i].as_py() or [], tokens[i].as_py() or [], todo, counter)
+                    if n:
+                        after[i] = new.text, *new.leaves()
+                        made = before, n, new.total(), new.reencoded, len(after[i][1])
+                rows.append(made)
+            columns = [batch.column(k) for k in range(len(kept))]
+            if keep and after:
+                for k, c in enumerate(kept):
+                    if c == text:
+                        columns[k] = pa.array([after[i][0] if i in after else x for i, x in enumerate(texts)], columns[k].type)
+                    if c == tree:
+                        lists = [[after[i][j] if i in after else x for i, x in enumerate(part.to_pylist())] for j, part in ((1, chars), (2, tokens))]
+                        columns[k] = pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in lists], ["chars", "tokens"])
+            sums = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
+            yield pa.RecordBatch.from_arrays([*columns, sums], [*kept, out])
+
+    return source.mapInArrow(run, schema)
 
 
 #: What ``redactions`` replaces: mail addresses, IPv4 addresses, long numbers, quoted hexadecimal secrets.

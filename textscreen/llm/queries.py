@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialise
 from . import bpe, counts, extract, infill, licences, lines, packing, pitman_yor, quality, simhash, sketches, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,8 +126,9 @@ def op9_recursive_bpe(spark, sf):
 @query()
 def op10_edit_aware_counts(spark, sf):
     docs = read(spark, sf, "documents", "doc_id", "text")
-    counted = counts.counts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, counts.redactions)
-    return counted.select("doc_id", "counts.*")
+    tokenizer = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    stored = materialise(counts.build(docs, *tokenizer), "trees")
+    return counts.apply_edits(stored, *tokenizer, counts.redactions, keep=False).select("doc_id", "counts.*")
 
 
 @query()
