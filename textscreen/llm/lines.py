@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import materialise, shared_dir
 from .blocks import once
@@ -92,8 +92,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     """``docs`` with ``text`` reduced to the lines that stay, and ``(n_lines, n_dropped)`` in the struct ``_lines``.
 
     The number of batches is fixed, their size grows with the input. Row count
-    and all other columns are unchanged.
+    and all other columns are unchanged, whatever their names; only a column
+    ``_lines`` is replaced. Keys must be whole numbers. An empty table gives no rows.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {docs.schema[key].dataType.simpleString()}")
     spark, kept = docs.sparkSession, [c for c in docs.columns if c.lower() != "_lines"]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     order = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))
@@ -128,12 +131,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
         dropped = dropped.union(other)
     # Gaps between dropped lines, so that a text of many lines is put together in one pass over them.
     places = dropped.groupBy("id", "of").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    joined = docs.withColumns({"_id": order, "_of": F.xxhash64(texts)}).join(
-        places.withColumnsRenamed({"id": "_id", "of": "_of", "at": "_at"}).hint("shuffle_hash"), ["_id", "_of"], "left"
-    )
+    # The caller's columns travel in a struct, where their names meet no others.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), order.alias("id"), F.xxhash64(texts).alias("of"))
+    joined = whole.join(places.hint("shuffle_hash"), ["id", "of"], "left")
+    own = F.col("row").getField(text)
     return joined.select(
-        *[_keep(F.col(f"`{text}`"), F.col("_at")).alias(c) if c == text else F.col(f"`{c}`") for c in kept],
-        F.struct(F.size(_lines(F.col(f"`{text}`"))).cast("long").alias("n_lines"), F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_dropped")).alias("_lines"),
+        *[(_keep(own, F.col("at")) if c == text else F.col("row").getField(c)).alias(c) for c in kept],
+        F.struct(F.size(_lines(own)).cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped")).alias("_lines"),
     )
 
 

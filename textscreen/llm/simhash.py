@@ -124,17 +124,21 @@ def links(distinct: DataFrame, max_bits: int = 2, column: str = "bits") -> DataF
     return left.join(right, ["k", "x", "y"]).where(near & first).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2, digest: bool = False) -> DataFrame:
     """``(key, bits, component_id)`` per row of ``docs``; the smallest key reachable through links.
 
     A null key never names a component: its rows get the smallest other key, or
-    null if there is none. Rows repeating a key share its fingerprint's component.
+    null if there is none. A row's component is that of its own text, also where
+    rows repeat a key with other texts; ``digest`` adds the text's 64-bit hash, which
+    tells such rows apart. An empty table gives no rows; keys may be of any type that
+    has an order.
     """
     marked = fingerprints(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "text", shingle, "f")
-    marked = materialise(marked.select("key", "f.bits"), "simhash")
+    more = ["digest"] if digest else []
+    marked = materialise(marked.select("key", "f.bits", *[F.xxhash64("text").alias(c) for c in more]), "simhash")
     nodes = marked.groupBy("bits").agg(F.min("key").alias("low"))
     roots = components(links(nodes, max_bits))
     linked = nodes.join(roots, nodes["bits"] == roots["node"], "left").select("bits", "low", F.coalesce("root", "bits").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.join(lowest, "root").select("bits", "component_id")
-    return marked.join(named, "bits").select(F.col("key").alias(key), "bits", "component_id")
+    return marked.join(named, "bits").select(F.col("key").alias(key), "bits", "component_id", *more)
