@@ -9,25 +9,34 @@ from textscreen.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the strict policy, unchanged."""
+    """The documents that pass the strict policy, unchanged, repeated rows too; null and empty texts never pass."""
     return quality.accepted(docs, "strict-1")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with only the lines that no smaller document holds; ``n_chars`` follows the text."""
+    """The documents with only the lines that no smaller document holds; ``n_chars`` follows the text.
+
+    No document goes, even if all its lines do. Null texts become empty ones, and rows
+    repeating an id count as one document.
+    """
     kept = lines.dedup(docs).drop("_lines")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; documents without an id stay."""
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Documents without an id stay. Of rows that repeat an id each is judged by its own
+    text. Null and empty texts are near-duplicates of each other; no rows give no rows.
+    """
+    found = simhash.near_duplicates(docs, shingle=3, max_bits=2, digest=True)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_digest"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the words of each document go: pieces, bins and their lengths."""
+    """Where the words of each document go: pieces, bins and their lengths; a text without words has one row without a bin."""
     return packing.pack(docs)
 
 
