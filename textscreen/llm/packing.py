@@ -59,7 +59,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacities: d
 
     Pieces of a text cover its words without gap or overlap. A null or wordless
     text has one piece of no words in no bin (null). Rows repeating a key are
-    packed like any others, each with its own pieces.
+    packed like any others, each with its own pieces, and dealt to groups like any
+    others. An empty table gives no rows; keys may be of any type that has an order.
     """
     capacities = dict(capacities or CAPACITIES)
     if not capacities or min(capacities) < 1:
@@ -68,23 +69,25 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacities: d
     words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long")
     lengths = materialise(docs.select(F.col(f"`{key}`").alias("key"), words.alias("n")), "lengths")
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / largest) - 1, F.lit(0)))
-    cut = lengths.select("key", "n", F.explode(pieces).alias("piece")).select(
-        "key", "piece", (F.col("piece") * largest).alias("first_word"), F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).alias("n_words")
+    numbered = lengths.withColumn("row", F.monotonically_increasing_id())
+    cut = numbered.select("key", "n", "row", F.explode(pieces).alias("piece")).select(
+        "row", "key", "piece", (F.col("piece") * largest).alias("first_word"), F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).alias("n_words")
     )
     groups = max(1, -(-cut.where("n_words > 0").count() // group))
-    keyed = cut.where("n_words > 0").withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    # The row's place in the stored table parts rows that repeat a key.
+    keyed = cut.where("n_words > 0").withColumn("part", F.pmod(F.xxhash64("key", "piece", "row"), F.lit(groups)))
     kind = {f.name: f.dataType for f in lengths.schema.fields}["key"].simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_words", "key", "piece"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["n_words", "key", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         made = pd.DataFrame(best_fit(part["n_words"].tolist(), capacities), columns=["at", "bin_offset", "capacity"], index=part.index)
         part["bin_id"] = part["part"] * (1 << 32) + made["at"]
         part[["bin_offset", "capacity"]] = made[["bin_offset", "capacity"]]
-        return part.drop(columns="part")
+        return part.drop(columns=["part", "row"])
 
     columns = f"key {kind}, piece long, first_word long, n_words long, bin_id long, bin_offset long, capacity long"
     packed = keyed.groupBy("part").applyInPandas(run, columns)
-    none = cut.where("n_words = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "bin_offset", "capacity")])
+    none = cut.where("n_words = 0").drop("row").select("*", *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "bin_offset", "capacity")])
     return packed.unionByName(none).withColumnRenamed("key", key)
 
 
