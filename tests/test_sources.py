@@ -142,6 +142,9 @@ def test_catalog(spark, tmp_path):
     described = f"train: {paths['train']}\nvalid: {paths['valid']}\ntest: {paths['valid']}\nlabels: [ safe, vulnerable ]\n"
     catalog = Catalog(load_dataset("texts", described))
     assert catalog.get("texts").labels == ["safe", "vulnerable"]
+    assert load_dataset("t", "train: ./a/b.jsonl  # all\ntest: 'c'\nlabels: [ no, yes ]\n") == load_dataset("t", '{"train": "./a/b.jsonl", "test": "c", "labels": ["no", "yes"]}')
+    with pytest.raises(ValueError, match="cannot read"):
+        load_dataset("t", "train ./a")
     stages = {s: sorted((r["idx"], r["split"]) for r in catalog.load(spark, "texts", s).collect()) for s in ("fit", "test", None)}
     assert stages["fit"] == [(0, "train"), (1, "train"), (2, "valid")]
     assert stages["test"] == [(2, "test")]

@@ -206,6 +206,14 @@ def leaderboard(spark, sf):
     return evaluate.leaderboard(labelled)
 
 
+@query('SELECT model, f1, "precision", recall FROM board', *_BOARD)
+def row_leaderboard(spark, sf):
+    """The leaderboard from files of predictions, one per model and data set, and the truth apart."""
+    rows = preds(spark, sf).withColumn("file", F.concat(F.lit("set"), F.col("idx") % 3)).select("model", "file", "idx", "y_pred")
+    root = writers.write_csv(rows, shared_dir(spark, "rows"), ["model", "file"])
+    return workflows.row_leaderboard(spark, root, truth(spark, sf))
+
+
 @query(
     """SELECT model, CASE WHEN "precision" > 0 THEN round_even((1 / "precision" - 1) * 100, 0) ELSE 'inf'::double END AS fp_per_100,
     round_even(100 - recall * 100, 0) AS fn_per_100 FROM board""",

@@ -10,7 +10,7 @@ from ..operators import evaluate, models, training
 from ..operators.curriculum import rank_for_epochs
 from ..session import materialise, shared_dir
 from ..sources import writers
-from .fixtures import table, u
+from .fixtures import TOKEN_SQL, pairs, table, texts, u, vocab
 from .registered import query
 
 _VECTORS = 64
@@ -160,6 +160,49 @@ def train_epochs(spark, sf):
     )
 
 
+_TOKENS, _WIDTH = 64, 8
+
+
+def _scores_sql(rows: str) -> str:
+    """Scores of ``rows (id, func)``: the largest value of each feature over 64 places, empty ones as zeros, through fixed weights."""
+    weight = lambda c: f"((({c} * {_WIDTH + 1} + f) * 37 % 101) / 50.0 - 1)::double"
+    return f"""WITH t AS (SELECT id, regexp_extract_all(func, {TOKEN_SQL}) AS ts FROM ({rows})),
+        e AS (SELECT id, len(ts) AS n, unnest(ts[1:{_TOKENS}]) AS token FROM t),
+        v AS (SELECT id, f, greatest(max(coalesce(vec[f + 1]::double, 0)), CASE WHEN any_value(n) < {_TOKENS} THEN 0 END) AS x
+            FROM e LEFT JOIN vocab USING (token), range({_WIDTH}) b(f) GROUP BY id, f),
+        z AS (SELECT id, sum(x * ({weight(1)} - {weight(0)})) AS z FROM v GROUP BY id),
+        b AS (SELECT {weight(1)} - {weight(0)} AS bias FROM (SELECT {_WIDTH} AS f))
+        SELECT t.id, 1 / (1 + exp(-(coalesce(z, 0) + bias))) AS y_pred FROM t LEFT JOIN z ON t.id = z.id, b"""
+
+
+def _fixed_state(spark):
+    weights = F.transform(F.sequence(F.lit(0), F.lit(2 * (_WIDTH + 1) - 1)), lambda i: (i * 37 % 101) / 50.0 - 1)
+    return materialise(training.initial_state(spark, _WIDTH).withColumn("w", weights.cast("array<double>")), "state")
+
+
+@query(f"SELECT id AS idx, round(y_pred, 8) AS y_pred FROM ({_scores_sql('SELECT doc_id AS id, text AS func FROM documents')})", "tokens", "vocab")
+def score_rows(spark, sf):
+    """Texts to scores: tokens, vectors, pooling, a trained state."""
+    rows = texts(spark, sf).select(F.col("doc_id").alias("idx"), F.col("text").alias("func"))
+    scored = workflows.score_rows(rows, materialise(vocab(spark, sf), "vocab"), _fixed_state(spark), _TOKENS, _WIDTH)
+    return scored.select("idx", F.round("y_pred", 8).alias("y_pred"))
+
+
+@query(
+    f"""SELECT idx, round(before, 8) AS before, round(after, 8) AS after, round(before - after, 8) AS diff FROM (
+        SELECT id.idx AS idx, max(y_pred) FILTER (id.variant = 'before') AS before, max(y_pred) FILTER (id.variant = 'after') AS after FROM ({_scores_sql(
+        "SELECT {'idx': conv_id * 1000 + turn, 'variant': 'before'} AS id, func_before AS func FROM pairs UNION ALL SELECT {'idx': conv_id * 1000 + turn, 'variant': 'after'}, func_after FROM pairs")}) GROUP BY id.idx)""",
+    "tokens",
+    "vocab",
+    "pairs",
+)
+def score_pairs(spark, sf):
+    """Both sides of every change pair scored in one pass."""
+    rows = pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "func_before", "func_after")
+    scored = workflows.score_pairs(rows, materialise(vocab(spark, sf), "vocab"), _fixed_state(spark), _TOKENS, _WIDTH)
+    return scored.select("idx", *[F.round(c, 8).alias(c) for c in ("before", "after", "diff")])
+
+
 @query(
     f"""SELECT vec_id AS idx, round(1 / (1 + exp(-list_sum(list_transform(range({_VECTORS}),
     lambda i: embedding[i + 1]::double * (((i * 37) % 101) / 50.0 - 1)::double)))), 8) AS y_pred FROM embeddings"""

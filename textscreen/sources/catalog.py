@@ -22,13 +22,17 @@ class Dataset:
 
 
 def load_dataset(name: str, text: str) -> Dataset:
-    """A data set from its YAML or JSON description."""
-    try:
-        import yaml
-    except ImportError:
+    """A data set from its description: JSON, or lines ``split: path`` and ``labels: [ first, second ]``."""
+    if text.lstrip().startswith("{"):
         settings = json.loads(text)
     else:
-        settings = yaml.safe_load(text)
+        lines = [line.split("#")[0].strip() for line in text.splitlines()]
+        parts = [line.partition(":") for line in lines if line]
+        if not all(colon for _, colon, _ in parts):
+            raise ValueError(f"cannot read the description of {name!r}")
+        settings = {key.strip(): value.strip().strip("'\"") for key, _, value in parts}
+        if "labels" in settings:
+            settings["labels"] = [label.strip().strip("'\"") for label in settings["labels"].strip("[]").split(",")]
     labels = settings.pop("labels", ["safe", "vulnerable"])
     return Dataset(name, settings, labels)
 
