@@ -10,7 +10,7 @@ import xxhash
 import __spark_entry__ as driver
 import corpus_pipeline
 import oracle
-from textscreen.llm import bpe, extract, licences, lines, packing, pitman_yor, quality, simhash, vectors
+from textscreen.llm import bpe, extract, licences, lines, packing, quality, simhash, vectors
 from textscreen.llm import queries as registered
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -182,21 +182,6 @@ def test_licences(spark):
     assert not [r for r in found if r["doc_id"] in (top + 2, top + 3)]
 
 
-def test_language_model(spark):
-    rows = registered.QUERIES["op1_pitman_yor"](spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
-    held = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
-
-
-def test_language_model_odd(spark, odd):
-    rows = pitman_yor.score(odd.select("doc_id", "text"), odd["doc_id"] == 3).collect()
-    assert len(rows) == odd.count()
-    assert all(np.isfinite(r["score"]) for r in rows)
-    assert {r["n_tokens"] for r in rows if r["doc_id"] in (0, 1, 2)} == {1}
-
-
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "best-fit packing"]
     source = spark.read.parquet(f"{SF}/documents.parquet")

@@ -75,6 +75,19 @@ def op2_quality_rules(spark, sf):
     )
 
 
+@query(
+    f"""
+    WITH l AS ({SQL["op2_quality_rules"]}), r AS (SELECT unnest({[name for name, _ in quality.RULES]}) AS rule, unnest({[1 << i for i in range(len(quality.RULES))]}) AS bit)
+    SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits = bit)::BIGINT AS n_failed_alone,
+      count(*) FILTER (fail_bits & ~bit = 0)::BIGINT AS n_kept_without, count(*) FILTER (fail_bits = 0)::BIGINT AS n_kept FROM l, r GROUP BY rule
+    """
+)
+def quality_ablation(spark, sf):
+    """What each rule of the strict policy costs, from a stored ledger."""
+    stored = materialise(quality.ledger(read(spark, sf, "documents", "doc_id", "text")).select("doc_id", "ledger.*"), "ledger")
+    return quality.ablation(stored, "strict-1")
+
+
 @query()
 def op4_best_fit_packing(spark, sf):
     return packing.pack(read(spark, sf, "documents", "doc_id", "text"))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialise
 from .blocks import mix
@@ -186,10 +186,17 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Only vectors of equal, non-null labels and equal length are compared. Null and
     zero vectors, those holding null or non-finite values, and rows without a key
-    or label link with nothing. Rows repeating a key count as that many vectors.
+    or label link with nothing. Rows repeating a key count as that many vectors. Keys
+    must be whole numbers. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
+    if not isinstance(vectors.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {vectors.schema[key].dataType.simpleString()}")
+    # Floats travel as they are; sums and products are in double precision wherever they are taken.
+    single = vectors.schema[vector].dataType == T.ArrayType(T.FloatType())
+    entries = F.col(f"`{vector}`") if single else F.col(f"`{vector}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), entries.alias("vector"), F.col(f"`{label}`").alias("label"))
+    kind = "float" if single else "double"
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce((F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     good = rows.where(usable & F.col("id").isNotNull() & F.col("label").isNotNull())
@@ -209,7 +216,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "copies", "vector")), lists], ["id", "copies", "vector", "codes"])
 
-    hashed = materialise(nodes.mapInArrow(hash_all, "id long, copies long, vector array<double>, codes array<long>"), "codes")
+    hashed = materialise(nodes.mapInArrow(hash_all, f"id long, copies long, vector array<{kind}>, codes array<long>"), "codes")
     places = hashed.select("id", F.explode(F.array_distinct("codes")).alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     split = F.ceil(F.col("n") / BUCKET).cast("int")
