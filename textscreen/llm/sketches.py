@@ -26,12 +26,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.ordered import BUCKET, value_cuts, with_cuts
+from ..operators.ordered import BUCKET, default_parts, value_cuts, with_cuts
 from ..session import materialise
 from .blocks import once
 
 K = 128
 SHINGLE = 5
+RANGE, MOST_RANGES = 20_000, 16_384  # rows in a range of keys; more ranges than that would be more cut points than a sketch tells apart
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -116,8 +117,11 @@ def with_next(docs: DataFrame, key: str, columns: list[str], made: dict[str, Col
     also gets a copy of the first row of the range that follows, so that no range
     waits for another. Null keys come first; rows repeating a key follow each other
     by the hash of ``columns``, and a key with very many rows is cut by it into
-    several ranges. The only row of a table follows itself.
+    several ranges. The only row of a table follows itself. There are ``parts`` ranges,
+    by default one per ``RANGE`` rows and a few per shuffle partition at least.
     """
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-docs.count() // RANGE)))
+    parts = max(default_parts(docs.sparkSession), tasks) if parts is None else parts
     names = [c for c in columns if c in docs.columns]
     hashed = docs.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     placed = with_cuts(hashed, value_cuts(hashed, key, "_tie", parts))
@@ -135,8 +139,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], made: dict[str, Col
     ).otherwise(F.array(F.struct(F.col(BUCKET).alias("range"), F.lit(0).alias("copy"))))
     dealt = marked.select("*", F.explode(homes).alias("_home")).select(*[F.col(f"`{c}`") for c in docs.columns], "_tie", "_home.*")
     dealt = dealt.withColumnsRenamed({"range": "_range", "copy": "_copy"})
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.repartition(parts, "_range").withColumns(made or {})
+    ready = dealt.repartition(tasks, "_range").withColumns(made or {})
     ahead = Window.partitionBy("_range").orderBy("_copy", F.col(f"`{key}`").asc_nulls_first(), "_tie")
     # Copies come last in a range, so its last own row sees the row that follows it.
     follows = F.lead(F.struct(*[F.col(f"`{c}`") for c in columns])).over(ahead)
