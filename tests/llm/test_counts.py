@@ -65,8 +65,8 @@ def test_stored_rows(spark, coder):
     assert {r["text"] or "" for r in once.collect()} == want
     for r in once.collect():
         n = len(coder.encode_ordinary(r["text"] or ""))
-        assert r["counts"]["n_tokens_after"] == n == sum(r["tree"]["tokens"]) and sum(r["tree"]["chars"]) == len(r["text"] or "")
-        assert r["counts"]["n_pieces"] == len(r["tree"]["chars"])
+        assert r["counts"]["n_tokens_after"] == n == sum(x & 0xFFFFFFFF for x in r["tree"]["leaves"]) and sum(x >> 32 for x in r["tree"]["leaves"]) == len(r["text"] or "")
+        assert r["counts"]["n_pieces"] == len(r["tree"]["leaves"])
     assert {r["counts"]["n_edits"] for r in once.filter("doc_id = 1").collect()} == {0, 2}
     # What came out is edited again, by a function of the text.
     again = counts.apply_edits(once, PATH, PATTERN, lambda t: [(len(t), len(t), " end")], keep=False)

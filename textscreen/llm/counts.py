@@ -2,8 +2,8 @@
 
 A document's pre-tokens are the leaves of a segment tree whose nodes hold the
 characters and tokens below them. A first pass (``build``) encodes every text once
-and stores its tree, one row a document, by its leaves: two arrays, from which the
-sums above follow. Later passes (``apply_edits``) read the stored rows and touch only
+and stores its tree, one row a document, by its leaves: an array of one number a
+pre-token, ``characters << 32 | tokens``, from which the sums above follow. Later passes (``apply_edits``) read the stored rows and touch only
 those with edits. An edit finds its leaves by character offset, splits only the text
 from a little before it up to the first place after it where the new split meets an
 old boundary, encodes that, and renews the sums above. Pre-tokens look at most
@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import SparkFiles
@@ -167,9 +166,9 @@ def ordered(edits: list[Edit | None] | None, length: int) -> list[tuple[int, int
     return out
 
 
-def edited_tree(text: str, chars: list[int], tokens: list[int], edits: list[Edit | None] | None, counter: Counter) -> tuple[Tree, int]:
+def edited_tree(text: str, chars: np.ndarray, tokens: np.ndarray, edits: list[Edit | None] | None, counter: Counter) -> tuple[Tree, int]:
     """The tree after all edits, and how many there were."""
-    tree, shift, todo = Tree(text, np.array(chars, np.int64), np.array(tokens, np.int64), counter), 0, ordered(edits, len(text))
+    tree, shift, todo = Tree(text, chars, tokens, counter), 0, ordered(edits, len(text))
     for start, stop, new in todo:
         tree.edit(start + shift, stop + shift, new)
         shift += len(new) - (stop - start)
@@ -187,7 +186,7 @@ def _counter(vocabulary: str, pattern: str) -> Counter:
 
 
 def build(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "tree") -> DataFrame:
-    """``docs`` with the struct ``out`` of ``(chars, tokens)``, the leaves of each text's tree; write the result.
+    """``docs`` with the struct ``out`` of ``(leaves)``, the leaves of each text's tree; write the result.
 
     Rows stay as they are, repeated ones too; a column named ``out`` is replaced. No
     rows give no rows. ``pattern`` must match every character, as the split of a
@@ -197,10 +196,14 @@ def build(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ou
     def measure(texts: pa.Array) -> pa.StructArray:
         counter = _counter(vocabulary, pattern)
         pieces = [counter.split.findall(x or "") for x in texts.to_pylist()]
-        chars = pa.array([list(map(len, p)) for p in pieces], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([chars, pa.array([counter.of(p) for p in pieces], pa.list_(pa.int32()))], ["chars", "tokens"])
+        leaves = [_leaves(list(map(len, p)), counter.of(p)) for p in pieces]
+        return pa.StructArray.from_arrays([pa.array(leaves, pa.list_(pa.int64()))], ["leaves"])
 
-    return per_row(docs, text, measure, "chars array<int>, tokens array<int>", out)
+    return per_row(docs, text, measure, "leaves array<long>", out)
+
+
+def _leaves(chars: list[int], tokens: list[int]) -> np.ndarray:
+    return np.array(chars, np.int64) << 32 | np.array(tokens, np.int64)
 
 
 def apply_edits(
@@ -222,17 +225,17 @@ def apply_edits(
         counter = _counter(vocabulary, pattern)
         for batch in batches:
             read = batch.column(len(kept))
-            texts, leaves = read.field("text").to_pylist(), read.field("tree")
+            texts, trees = read.field("text").to_pylist(), read.field("tree").field("leaves")
             asked = [[e and tuple(e.values()) for e in row or ()] for row in read.field("edits").to_pylist()] if given else [edits(x or "") for x in texts]
-            chars, tokens = leaves.field("chars"), leaves.field("tokens")
             rows, after = [], {}
             for i, todo in enumerate(asked):
-                before = int(pc.sum(tokens[i].values).as_py() or 0) if tokens[i].is_valid else 0
-                made = (before, 0, before, 0, len(tokens[i]) if tokens[i].is_valid else 0)
+                leaves = trees[i].values.to_numpy() if trees[i].is_valid else np.zeros(0, np.int64)
+                before = int((leaves & 0xFFFFFFFF).sum())
+                made = (before, 0, before, 0, len(leaves))
                 if todo:
-                    new, n = edited_tree(texts[i] or "", chars[i].as_py() or [], tokens[i].as_py() or [], todo, counter)
+                    new, n = edited_tree(texts[i] or "", leaves >> 32, leaves & 0xFFFFFFFF, todo, counter)
                     if n:
-                        after[i] = new.text, *new.leaves()
+                        after[i] = new.text, _leaves(*new.leaves())
                         made = before, n, new.total(), new.reencoded, len(after[i][1])
                 rows.append(made)
             columns = [batch.column(k) for k in range(len(kept))]
@@ -241,8 +244,8 @@ def apply_edits(
                     if c == text:
                         columns[k] = pa.array([after[i][0] if i in after else x for i, x in enumerate(texts)], columns[k].type)
                     if c == tree:
-                        lists = [[after[i][j] if i in after else x for i, x in enumerate(part.to_pylist())] for j, part in ((1, chars), (2, tokens))]
-                        columns[k] = pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in lists], ["chars", "tokens"])
+                        lists = [after[i][1] if i in after else x for i, x in enumerate(trees.to_pylist())]
+                        columns[k] = pa.StructArray.from_arrays([pa.array(lists, pa.list_(pa.int64()))], ["leaves"])
             sums = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
             yield pa.RecordBatch.from_arrays([*columns, sums], [*kept, out])
 
