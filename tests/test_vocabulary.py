@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textscreen import workflows
 from textscreen.operators import vocabulary
 from textscreen.session import materialise
 
@@ -78,3 +79,18 @@ def test_chains(spark):
     assert vocabulary.model_input(df, "normalised_ids", made, length=2).count() == 3
     with pytest.raises(ValueError, match="unknown input chain"):
         vocabulary.model_input(df, "none such", made)
+
+
+def test_runs_take_either_kind_of_vocabulary(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    vectors = materialise(spark.createDataFrame([(w, [float(v) for v in rng.normal(size=5)]) for w in words[:50]], "token string, vec array<double>"), "vectors")
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, func string")
+    tokens = df.select(F.split("func", " ").alias("tokens"))
+    ranked = vocabulary.with_vectors(vocabulary.build_vocabulary(tokens.filter("tokens[0] <> ''")), vectors)
+    assert ranked.columns == ["token", "id", "vec"]
+    pooled = [{r["idx"]: list(r["features"]) for r in workflows.pooled_features(df, v, 12, 4).collect()} for v in (vectors, ranked)]
+    assert set(pooled[0]) == set(pooled[1]) == set(range(40))
+    for i in range(40):
+        np.testing.assert_allclose(pooled[0][i], pooled[1][i])

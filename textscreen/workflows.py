@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import sequence
 from .functions.scores import above, sample_weight
-from .operators import checks, evaluate, models, training
+from .operators import checks, evaluate, models, training, vocabulary
 from .operators.curriculum import curriculum_weights, epoch_rows, epoch_size, rank_for_epochs
 from .operators.joins import join_truth
 from .operators.rewrite import unpivot_pairs
 from .operators.runs import top_checkpoints
-from .operators.sequences import featurize
+from .operators.sequences import featurize, truncated_tokens
 from .session import materialise
 from .sources import readers, writers
 
@@ -28,8 +28,17 @@ from .sources import readers, writers
 def pooled_features(
     df: DataFrame, vocab: DataFrame, length: int, features: int, row_id: str = "idx", tokeniser: str = "code"
 ) -> DataFrame:
-    """``(id, features)``: each text's token vectors, padded and pooled by their maximum."""
-    dense = featurize(df, vocab, length, features, tokeniser, row_id)
+    """``(id, features)``: each text's token vectors, padded and pooled by their maximum.
+
+    ``vocab`` is a stored table ``(token, vec)``. With a column ``id`` as
+    ``vocabulary.with_vectors`` gives it, vectors are looked up by id, without sending
+    one back for every token.
+    """
+    if "id" in vocab.columns:
+        tokens = truncated_tokens(df, length, tokeniser).select(row_id, "tokens")
+        dense = vocabulary.dense_batch(vocabulary.encode(tokens, vocab, row_id=row_id), vocab.select("id", "vec"), length, features, row_id=row_id)
+    else:
+        dense = featurize(df, vocab, length, features, tokeniser, row_id)
     return dense.select(row_id, array_to_vector(sequence.max_pool(F.col("x"))).alias("features"))
 
 
