@@ -113,7 +113,7 @@ def average_precision_bounds(spark, sf):
     merged = precision.merge(*[precision.sketch(rated.filter(half), ["model"], cells=_CELLS) for half in (even, ~even)], by=["model"])
     bounds = precision.average_precision_bounds(merged, ["model"])
     exact = evaluate.average_precision(rated, ["model"]).withColumnRenamed("average_precision", "exact")
-    both = bounds.join(exact, "model").withColumn("inside", F.col("exact").between(F.col("low"), F.col("high")))
+    both = bounds.join(exact, "model").withColumn("inside", F.col("exact").between(F.col("low") - 1e-12, F.col("high") + 1e-12))
     return both.select("model", *[F.round(c, 8).alias(c) for c in ("average_precision", "low", "high", "exact")], "inside")
 
 
