@@ -240,3 +240,14 @@ def test_split_csv_with_crlf_names_and_several_files(spark, tmp_path):
     assert got.columns == ["CVE ID", "Func `x"]
     want = [(f"{n}{i}", t) for n in "ab" for i, t in ((1, 'x\r\ny "q"'), (2, None), (3, "z"))]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_small_scans_are_spread_and_large_ones_left_alone(spark, monkeypatch):
+    path = writers.write_jsonl(rows(spark).coalesce(1), shared_dir(spark, "one"))
+    size = readers.stored_bytes(spark, path)
+    assert 100 < size < 10_000 and readers.stored_bytes(spark, shared_dir(spark, "x").rsplit("/", 1)[0]) > 0
+    scan = readers.read_jsonl(spark, path)
+    assert readers.spread(scan, "idx", size).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 10)
+    assert readers.spread(scan, "idx", size).rdd.getNumPartitions() == scan.rdd.getNumPartitions()
+    assert contents(readers.spread(scan, "idx", 1)) == contents(rows(spark))
