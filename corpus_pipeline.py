@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textscreen.llm import lines, packing, quality, simhash
+from textscreen.llm.blocks import free
 from textscreen.session import materialise
 
 
@@ -19,8 +20,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No document goes, even if all its lines do. Null texts become empty ones, and rows
     repeating an id count as one document.
     """
-    kept = lines.dedup(docs).drop("_lines")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # A column of the name that the operator adds steps aside.
+    aside = free(docs, "_lines")
+    kept = lines.dedup(docs.withColumnRenamed("_lines", aside)).drop("_lines").withColumnRenamed(aside, "_lines")
+    counted = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return counted.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +34,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text. Null and empty texts are near-duplicates of each other; no rows give no rows.
     """
     found = simhash.near_duplicates(docs, shingle=3, max_bits=2, digest=True)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
-    same = (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_digest"))
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    key, digest = free(docs, "_gone"), free(docs, "_gone_digest")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("digest").alias(digest)).distinct()
+    same = (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(digest))
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def test_near_dedup_stage_judges_each_row_of_a_repeated_id(spark):
     assert corpus_pipeline.simhash_dedup(spark, df.limit(0), "").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_ledger", "_lines", "_gone", "_gone_digest", "bits", "component_id", "digest", "row", "id", "of", "at", "part", "n"]
+    rows = [(i, f"{A} number {i} of many more words\nshared line of text", "en", "s", 1, *range(len(names))) for i in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{n}` int" for n in names]]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() == 3
+
+
 def test_stages_on_odd_rows(spark):
     rows = [(1, A * 3), (1, A * 3), (2, None), (3, ""), (4, "word " * 50_000), (None, B), (5, f"{B}\n{A}")]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

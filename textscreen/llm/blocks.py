@@ -127,6 +127,14 @@ def per_row(df: DataFrame, column: str, measure: Callable[[pa.Array], pa.StructA
     return source.mapInArrow(run, schema)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once per row, also where lambdas inside ``use`` read it for every element."""
     return F.get(F.transform(F.array(value), use), 0)

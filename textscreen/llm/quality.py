@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import Block, mix, per_row, repeated, running
+from .blocks import Block, free, mix, per_row, repeated, running
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
@@ -125,9 +125,10 @@ def passes(bits: Column, policy: str) -> Column:
 
 
 def accepted(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    judged = ledger(docs, text, "_ledger")
-    return judged.where(passes(F.col("_ledger.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns, whatever their names."""
+    name = free(docs, "_ledger")
+    judged = ledger(docs, text, name)
+    return judged.where(passes(F.col(f"`{name}`.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablation(bits: DataFrame, policy: str, column: str = "fail_bits") -> DataFrame:
