@@ -210,7 +210,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
 
     ``vocabulary`` is a path that every executor can open, or the name of a file
     given to ``SparkContext.addFile``. Each match of ``pattern`` is encoded on its
-    own, without special tokens; text between matches has none.
+    own, without special tokens; text between matches has none. Rows repeating a key
+    are encoded each, other columns are left out, keys may be of any type, and an
+    empty table gives no rows.
     """
     source = docs.select(key, text)
     schema = f"{source.schema[key].name} {source.schema[key].dataType.simpleString()}, {fields}"

@@ -92,7 +92,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacities: d
 
 
 def bins(packed: DataFrame) -> DataFrame:
-    """Per bin its capacity, words and pieces."""
+    """Per bin its capacity, words and pieces; pieces without a bin are left out, and no pieces give no rows."""
     return packed.where("bin_id IS NOT NULL").groupBy("bin_id").agg(
         F.first("capacity").alias("capacity"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_pieces")
     )
