@@ -124,3 +124,13 @@ def test_featurize(spark, limit, monkeypatch):
 def test_long_form(spark):
     df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]]), (2, [])], "id long, x array<array<double>>")
     assert sorted(tuple(r) for r in sequences.to_long(df).collect()) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (1, 1, 0, 3.0), (1, 1, 1, 4.0)]
+
+
+def test_featurize_sends_no_vector_per_position(spark):
+    df = spark.createDataFrame([(i, "a b " * 50) for i in range(20)] + [(None, "b"), (None, "a zz c"), (7, "b"), (30, None)], "idx long, func string")
+    vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, None]), ("b", [0.5]), ("c", None)], "token string, vec array<float>")
+    made = sequences.featurize(df, vocab, 4, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "array_distinct" in plan
+    old = sequences.dense_sequences(sequences.embed_tokens(sequences.truncated_tokens(df, 4), vocab), 4, 2)
+    assert sorted(map(str, made.collect())) == sorted(map(str, old.collect()))
