@@ -94,3 +94,12 @@ def test_runs_take_either_kind_of_vocabulary(spark):
     assert set(pooled[0]) == set(pooled[1]) == set(range(40))
     for i in range(40):
         np.testing.assert_allclose(pooled[0][i], pooled[1][i])
+
+
+def test_dense_batch_fetches_a_vector_once_a_block(spark):
+    vectors = materialise(spark.createDataFrame([(i, [float(i)]) for i in range(2, 9)], "id int, vec array<float>"), "vectors")
+    df = spark.createDataFrame([(i, [8, 2, 8, 99, 0]) for i in range(50)] + [(None, [2, 8])], "idx long, ids array<int>")
+    made = vocabulary.dense_batch(df, vectors, 3, 1, head=3)
+    assert "map_from_entries" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["idx"]: r["x"] for r in made.collect()}
+    assert got == {i: [[8.0], [2.0], [8.0]] for i in range(50)} | {None: [[2.0], [0.0], [0.0]]}
