@@ -103,3 +103,11 @@ def test_dense_batch_fetches_a_vector_once_a_block(spark):
     assert "map_from_entries" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {r["idx"]: r["x"] for r in made.collect()}
     assert got == {i: [[8.0], [2.0], [8.0]] for i in range(50)} | {None: [[2.0], [0.0], [0.0]]}
+
+
+def test_chains_look_up_no_more_than_their_length(spark):
+    df = spark.createDataFrame([(0, "a b a c d")], "idx long, func string")
+    made = vocabulary.build_vocabulary(spark.createDataFrame([(["a", "b", "c", "d"],)], "tokens array<string>"))
+    found = vocabulary.model_input(df, "prefixed_ids", made, length=4)
+    assert "posexplode(slice(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first()["mask"] == [1] * 4 and len(found.first()["input"]) == 4
