@@ -1,0 +1,27 @@
+"""The shared working folder."""
+
+import glob
+import os
+import tempfile
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from textscreen.session import materialise
+
+
+def _shuffle_files(spark):
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    return set(glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True)) | set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+
+@pytest.mark.parametrize("tidy", [True, False])
+def test_tidy_leaves_no_shuffle_files(spark, tidy):
+    before = _shuffle_files(spark)
+    written = materialise(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "tidy", tidy=tidy)
+    end = time.time() + 10
+    while tidy and _shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert bool(_shuffle_files(spark) - before) != tidy
+    assert written.count() == 1000
