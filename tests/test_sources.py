@@ -232,6 +232,21 @@ def test_split_csv_equals_whole_file(spark, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_split_csv_shuffles_only_the_edges_of_its_ranges(spark):
+    rows = spark.createDataFrame([(i, f'line {i}\n"second", ' + "x" * 200, i % 3) for i in range(5000)], readers.CANONICAL)
+    path = writers.write_csv(rows.coalesce(1), shared_dir(spark, "edges"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+    try:
+        got = readers.read_csv_split(spark, path, readers.CANONICAL)
+        # Rows that reach the one shuffle by a map-side sink: all lines of a range but those between its first and last start stay.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_split_csv_with_crlf_names_and_several_files(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.csv").write_bytes(f'CVE ID,Func `x\r\n{name}1,"x\r\ny ""q"""\r\n\r\n{name}2,\r\n{name}3,z'.encode())
