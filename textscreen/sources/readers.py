@@ -129,7 +129,8 @@ def read_csv_split(spark: SparkSession, path: str | list[str], schema: StructTyp
     late = F.col("_seq") >= F.col("_last")
     header = (F.col("_block") == 0) & (F.col("_seq") == F.col("_first"))
     inside = known.filter(~early & ~late).select(F.concat("value", F.lit("\n")).alias("value"), "_quotes", header.alias("_header"))
-    inner = inside.mapInArrow(_whole_records, "_text string")
+    # Stored, so that what reads the rows again does not put them together again.
+    inner = materialise(inside.mapInArrow(_whole_records, "_text string"), "records")
 
     edges = known.filter(early | late).select("_file", F.when(early, F.col("_open")).otherwise(F.col("_own")).alias("_home"), F.struct("_block", "_seq", "value").alias("_line"))
     joined = edges.groupBy("_file", "_home").agg(F.array_sort(F.collect_list("_line")).alias("_lines")).filter("NOT _home.header")
