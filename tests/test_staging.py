@@ -95,6 +95,19 @@ def test_lookup_is_the_same_broadcast_or_salted(spark, limit, how):
     assert looked_up.columns == ["k", "id", "v"]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_broadcasts_the_rows_of_frequent_keys(spark, how):
+    rows = [(i, f"k{i % 5}" if i % 10 else f"k{i % 900}") for i in range(9000)] + [(-i, None) for i in range(50)] + [(-100 - i, "absent") for i in range(900)]
+    left = spark.createDataFrame(rows, "id long, k string")
+    table = spark.createDataFrame([(f"k{i}", [float(i)] * 20) for i in range(0, 900)] + [("k7", None)], "k string, v array<double>")
+    want = sorted(left.join(table, "k", how).collect(), key=str)
+    got = joins.lookup(left, table, "k", how, 20_000)
+    assert got.columns == ["k", "id", "v"] and sorted(got.collect(), key=str) == want
+    # The rows of frequent keys are joined where they are, in a branch of their own without salts.
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "_salt" not in plan.children().head().toString()
+
+
 def test_broadcast_needs_a_measured_size(spark):
     df = spark.range(1000).select("id", F.lit("x" * 100).alias("s"), F.array(F.lit(1.0)).alias("a"))
     assert joins.fits_broadcast(df, 200_000) and not joins.fits_broadcast(df, 100_000)

@@ -9,6 +9,8 @@ from pyspark.sql.types import (
     ArrayType, BinaryType, CharType, DataType, IntegerType, MapType, StringType, StructField, StructType, VarcharType,
 )
 
+from ..session import materialise
+
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
@@ -52,29 +54,54 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(_bytes(df)).alias("size")).first()["size"] or 0) <= limit
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES, counts: DataFrame | None = None) -> DataFrame:
     """Look ``key`` up in a stored table with one row per key.
 
-    A table within ``limit`` is broadcast. A larger one is joined by a shuffle
-    in which the hot keys of the left side are salted: those with more rows than
-    a partition's even share, each with as many salts as it fills shares. There
-    are fewer of them than partitions, which bounds the list of hot keys.
+    A table within ``limit`` is broadcast. Of a larger one the rows of the keys that
+    are looked up most are broadcast, as many as take ``limit``, so that most rows
+    stay where they are. Only the others are joined by a shuffle in which the hot keys
+    of the left side are salted: those with more rows than a partition's even share,
+    each with as many salts as it fills shares. There are fewer of them than
+    partitions, which bounds the list of hot keys. Counting the left
+    side's keys is a pass over it; ``counts`` ``(key, n)`` saves it where they are known.
     """
     if fits_broadcast(table, limit):
         return left.join(F.broadcast(table), key, how)
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counts.select(key, F.col("n").alias("_n")) if counts is not None else materialise(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    frequent = _frequent_keys(counted, table, key, limit) if how in ("left", "inner") else None
+    rare, near = left, None
+    if frequent is not None:
+        near = left.join(F.broadcast(table.join(F.broadcast(frequent), key, "left_semi")), key)
+        rare, table = left.join(F.broadcast(frequent), key, "left_anti"), table.join(F.broadcast(frequent), key, "left_anti")
+        counted = counted.join(F.broadcast(frequent), key, "left_anti")
     share = F.greatest(F.lit(1.0), F.col("_all") / parts)
     sized = with_scalars(counted, F.sum("_n").alias("_all")).filter(F.col(key).isNotNull() & (F.col("_n") > share))
     found = sized.select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")).collect()
     hot = spark.createDataFrame(found, StructType([left.schema[key], StructField("_salts", IntegerType())]))
     # Rows without a key match nothing, but they too must not meet on one task.
     salts = F.when(F.col(key).isNull(), parts).otherwise(F.coalesce("_salts", F.lit(1)))
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
+    salted = rare.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
     repeated = table.join(F.broadcast(hot), key, "left")
     repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    return salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    far = salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    return far if near is None else near.union(far)
+
+
+def _frequent_keys(counted: DataFrame, table: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """The keys of ``table`` found most often, as many as have rows of ``limit`` bytes together; none if one is too much."""
+    # Counts are told apart by an eighth of a power of two, so that there are few levels.
+    level = F.floor(8 * F.log2("_n")).alias("_level")
+    sized = table.select(key, _bytes(table).alias("_bytes")).join(counted, key).select(key, "_bytes", level)
+    levels = materialise(sized, "levels")
+    least, total = None, 0
+    for row in levels.groupBy("_level").agg(F.sum("_bytes").alias("size")).orderBy(F.desc("_level")).collect():
+        total += row["size"]
+        if total > limit:
+            break
+        least = row["_level"]
+    return None if least is None else levels.filter(F.col("_level") >= least).select(key)
 
 
 def with_scalars(df: DataFrame, *aggregates: Column, over: DataFrame | None = None) -> DataFrame:

@@ -34,12 +34,13 @@ def truncated_tokens(df: DataFrame, length: int, tokeniser: str = "code", func:
     return df.withColumn("tokens", text.truncate(text.TOKENISERS.get(tokeniser)(F.col(func)), length))
 
 
-def embed_tokens(df: DataFrame, vocab: DataFrame, row_id: str = "idx", limit: int = BROADCAST_BYTES) -> DataFrame:
+def embed_tokens(df: DataFrame, vocab: DataFrame, row_id: str = "idx", limit: int = BROADCAST_BYTES, counts: DataFrame | None = None) -> DataFrame:
     """One row per token with its vector; the vector is null where the vocabulary lacks the token.
 
-    An example without tokens keeps one row of nulls. ``vocab`` is a stored table.
+    An example without tokens keeps one row of nulls. ``vocab`` is a stored table, as
+    are the ``counts`` of the tokens, ``(token, n)``, if they are known.
     """
-    return lookup(each_position(df, "tokens", ("t", "token"), row_id), vocab, "token", "left", limit)
+    return lookup(each_position(df, "tokens", ("t", "token"), row_id), vocab, "token", "left", limit, counts)
 
 
 def dense_sequences(

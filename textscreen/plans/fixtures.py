@@ -107,13 +107,17 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select(F.col("doc_id").alias("idx"), text.tokenize(F.col("text")).alias("tokens"))
 
 
-def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """Every token of the texts with a vector picked by its hash."""
+def counted_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token of the texts with how often it is found and a vector picked by its hash."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     size = vectors.agg(F.count(F.lit(1)).alias("_size"))
-    distinct = tokens(spark, sf).select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).distinct()
+    distinct = tokens(spark, sf).select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     picked = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.col("_size")
-    return distinct.crossJoin(F.broadcast(size)).select("token", picked.alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
+    return distinct.crossJoin(F.broadcast(size)).select("token", "n", picked.alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
+
+
+def vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return counted_vocab(spark, sf).drop("n")
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:

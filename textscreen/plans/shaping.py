@@ -8,7 +8,7 @@ from ..functions import scores as score_functions, text
 from ..functions.hashing import uniform
 from ..operators import evaluate, joins, ordered, rewrite, sequences, split, staging
 from ..session import materialise
-from .fixtures import flags, functions, pair_preds, pairs, preds, raw_text, scores, split_functions, table, texts, tokens, truth, u, vocab
+from .fixtures import counted_vocab, flags, functions, pair_preds, pairs, preds, raw_text, scores, split_functions, table, texts, tokens, truth, u
 from .registered import query
 from .sources import CLEAN_SQL
 
@@ -162,7 +162,8 @@ def scalar_broadcast(spark, sf):
     "vocab",
 )
 def embed_lookup(spark, sf):
-    embedded = sequences.embed_tokens(tokens(spark, sf), materialise(vocab(spark, sf), "vocab"))
+    known = materialise(counted_vocab(spark, sf), "vocab")
+    embedded = sequences.embed_tokens(tokens(spark, sf), known.drop("n"), counts=known.select("token", "n"))
     return embedded.groupBy("idx").agg(
         F.count("token").alias("n"),
         F.round(F.sum(F.col("vec")[0].cast("double")), 4).alias("first"),
