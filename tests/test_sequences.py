@@ -134,3 +134,15 @@ def test_featurize_sends_no_vector_per_position(spark):
     assert "posexplode" not in plan and "array_distinct" in plan
     old = sequences.dense_sequences(sequences.embed_tokens(sequences.truncated_tokens(df, 4), vocab), 4, 2)
     assert sorted(map(str, made.collect())) == sorted(map(str, old.collect()))
+
+
+def test_featurize_rows_known_by_several_fields(spark):
+    """Sides of change pairs: rows that share an id lie together, null fields and null ids included."""
+    rows = [(1, "before", "a"), (1, "after", "b"), (None, "before", "b"), (None, "before", "c a"), (None, "after", None), (2, "before", "")]
+    df = spark.createDataFrame(rows, "idx long, variant string, func string").withColumn("key", F.struct("idx", "variant"))
+    df = df.unionByName(spark.createDataFrame([(None, "b a")], "key struct<idx: long, variant: string>, func string"), allowMissingColumns=True)
+    vocab = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "token string, vec array<float>")
+    made = sequences.featurize(df, vocab, 3, 2, row_id="key")
+    old = sequences.dense_sequences(sequences.embed_tokens(sequences.truncated_tokens(df, 3), vocab, "key"), 3, 2, "key")
+    assert made.count() == 6
+    assert sorted(map(str, made.collect())) == sorted(map(str, old.collect()))

@@ -69,6 +69,19 @@ def _rank(vectors: pa.Array) -> np.ndarray:
     return place
 
 
+def _begins(ids: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; nulls are alike."""
+    if pa.types.is_struct(ids.type):
+        begins = np.diff(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int8), prepend=-1) != 0
+        for field in ids.flatten():
+            begins |= _begins(field)
+        return begins
+    if pa.types.is_nested(ids.type):
+        values = ids.to_pylist()
+        return np.array([i == 0 or v != values[i - 1] for i, v in enumerate(values)], bool)
+    return np.diff(ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False), prepend=-1) != 0
+
+
 def _dense_block(vectors: list[pa.RecordBatch], rows: list[pa.RecordBatch], names: list[str], length: int, features: int, together: str | None) -> Iterator[pa.RecordBatch]:
     """The rows of a block with the block's vectors at their positions, a piece at a time."""
     if not rows:
@@ -94,9 +107,7 @@ def _dense_block(vectors: list[pa.RecordBatch], rows: list[pa.RecordBatch], name
         place = np.where((place >= 0) & known.is_valid().to_numpy(zero_copy_only=False)[place], place, -1)
     if together is not None:
         # Rows that share an id lie side by side.
-        ids = table.column(together).dictionary_encode(null_encoding="encode").combine_chunks()
-        codes = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).indices.to_numpy(zero_copy_only=False)
-        begins = np.diff(codes, prepend=-1) != 0
+        begins = _begins(pa.concat_arrays(table.column(together).chunks))
         if not begins.all():
             owner, table = (np.cumsum(begins) - 1)[owner], table.filter(pa.array(begins))
             rank = np.append(_rank(matrix.slice(0, len(matrix) - 1)), -1)

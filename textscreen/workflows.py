@@ -160,7 +160,8 @@ def train_and_test(
 
 def score_rows(rows: DataFrame, vocab: DataFrame, model, length: int, features: int) -> DataFrame:
     """Canonical rows with their probability of class 1, by a fitted model or a state of ``training``."""
-    scored = _scored(pooled_features(rows, vocab, length, features), model)
+    # Scores are stored once, so that the result's plan stays native.
+    scored = materialise(_scored(pooled_features(rows, vocab, length, features), model), "scores")
     return rows.join(scored, "idx", "left")
 
 
@@ -168,7 +169,7 @@ def score_pairs(pairs: DataFrame, vocab: DataFrame, model, length: int, features
     """Both sides of change pairs scored in one pass, as ``(idx, before, after, diff)``."""
     variants = unpivot_pairs(pairs.select("idx", "func_before", "func_after"))
     variants = variants.withColumn("key", F.struct("idx", "variant"))
-    scored = _scored(pooled_features(variants, vocab, length, features, "key"), model, "key")
+    scored = materialise(_scored(pooled_features(variants, vocab, length, features, "key"), model, "key"), "scores")
     return evaluate.before_after(scored.select("key.idx", "key.variant", "y_pred"), ["idx"])
 
 
