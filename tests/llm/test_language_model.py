@@ -40,6 +40,34 @@ def test_sweeps_draw_seats_by_their_chances(c, strength, discount):
     assert np.abs(got - want).max() < 0.015
 
 
+@pytest.mark.parametrize("c,strength,discount", [(80, 0.4, 0.5), (100, 6.0, 0.8), (70, 60.0, 0.6)])
+def test_sweeps_in_groups_keep_the_law(c, strength, discount):
+    assert c > pitman_yor.JOINT
+    draw, copies = np.random.default_rng(4), 12_000
+    counts, fresh = np.full(copies, c), np.full(copies, strength)
+    sizes, tables = pitman_yor.jointly(counts, fresh, discount, draw)
+    want = exact_tables(c, strength, discount)
+    single = (sizes == 1).sum() / copies
+    for sweeps in (0, 5):
+        for _ in range(sweeps):
+            sizes, tables = pitman_yor.reseat(sizes, tables, counts, counts, fresh, discount, draw)
+        assert sizes.sum() == c * copies and (sizes > 0).all() and tables.sum() == len(sizes)
+        assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / copies - want).max() < 0.015
+        assert (sizes == 1).sum() / copies == pytest.approx(single, rel=0.03)
+
+
+@pytest.mark.parametrize("c", [2, 40, 64, 65, 3000, 20_000])
+def test_a_sweep_moves_every_customer(c):
+    """Where a new table weighs so much more than all customers, everyone ends up alone."""
+    draw, counts = np.random.default_rng(2), np.array([c, 1, c])
+    sizes, tables = pitman_yor.reseat(np.array([c, 1, c]), np.ones(3, np.int64), counts, counts, np.array([1e13, 1.0, 1e-9]), 0.5, draw)
+    assert tables.tolist() == [c, 1, 1] and sizes.tolist() == [1] * c + [1, c]
+    # Those gone leave and new ones come, before or after.
+    for now in (counts // 2 + 1, counts + 20):
+        after, held = pitman_yor.reseat(sizes, tables, counts, now, np.array([1e13, 1.0, 1e-9]), 0.5, draw)
+        assert held[0] == now[0] and after.sum() == now.sum()
+
+
 def test_walk_keeps_every_dish_by_itself():
     draw = np.random.default_rng(1)
     counts = draw.integers(0, 90, 400)
