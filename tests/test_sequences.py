@@ -146,3 +146,17 @@ def test_featurize_rows_known_by_several_fields(spark):
     old = sequences.dense_sequences(sequences.embed_tokens(sequences.truncated_tokens(df, 3), vocab, "key"), 3, 2, "key")
     assert made.count() == 6
     assert sorted(map(str, made.collect())) == sorted(map(str, old.collect()))
+
+
+@pytest.mark.parametrize("most", [0, 6, 1 << 20])
+def test_vectors_at_hand_are_not_sent(spark, monkeypatch, most):
+    """The vectors that are asked for most go to all tasks, whatever share of them fits."""
+    monkeypatch.setattr(sequences, "HEAD_CELLS", most)
+    draw = np.random.default_rng(3)
+    df = spark.createDataFrame([(i // 2 if i % 7 else None, " ".join(f"w{w}" for w in draw.zipf(1.5, 9) % 30)) for i in range(60)], "idx long, func string")
+    vocab = spark.createDataFrame([(f"w{w}", [float(w), None if w == 4 else 1.0]) for w in range(28)] + [("w1", [0.5]), ("w2", None)], "token string, vec array<float>")
+    made = sequences.featurize(df, vocab, 8, 2)
+    old = sequences.dense_sequences(sequences.embed_tokens(sequences.truncated_tokens(df, 8), vocab), 8, 2)
+    assert sorted(map(str, made.collect())) == sorted(map(str, old.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftAnti" in plan) == (most > 0)
