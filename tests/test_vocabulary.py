@@ -111,3 +111,22 @@ def test_chains_look_up_no_more_than_their_length(spark):
     found = vocabulary.model_input(df, "prefixed_ids", made, length=4)
     assert "posexplode(slice(" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.first()["mask"] == [1] * 4 and len(found.first()["input"]) == 4
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_encode_sends_positions_and_ids_as_one_number(spark, kind):
+    known = spark.createDataFrame([("a", 2), ("b", (1 << 31) - 1), ("c", -5), ("d", None)], f"token string, id {kind}")
+    df = spark.createDataFrame([(1, ["a", "b", None, "c", "zz", "d", "a"] * 3), (2, []), (3, None)], "idx long, tokens array<string>")
+    got = vocabulary.encode(df, known)
+    ids = [2, (1 << 31) - 1, 1, -5, 1, 1, 2] * 3
+    assert {r["idx"]: r["ids"] for r in got.collect()} == {1: ids, 2: [], 3: []}
+    assert got.schema["ids"].dataType.elementType.simpleString() == {"int": "int", "long": "bigint"}[kind]
+    assert ("struct" in got._jdf.queryExecution().optimizedPlan().toString()) == (kind == "long")
+
+
+def test_frequent_ids_are_at_hand(spark):
+    rows = spark.createDataFrame([(i, [2, 3, 2, 9, 100 + i]) for i in range(40)], "idx long, ids array<int>")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(2, 140)], "id int, vec array<float>")
+    made = vocabulary.dense_batch(rows, vectors, 5, 1, head=1)
+    assert "LeftAnti" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["idx"]: r["x"] for r in made.collect()} == {i: [[2.0], [3.0], [2.0], [9.0], [100.0 + i if i < 40 else 0.0]] for i in range(40)}
